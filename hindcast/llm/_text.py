@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 SHINGLE = 5
 SLICE_BYTES = 1 << 21
@@ -42,7 +43,7 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
     """Row ranges of about SLICE_BYTES each."""
-    lengths = np.asarray(pa.compute.binary_length(column).fill_null(0))
+    lengths = np.asarray(pc.binary_length(column).fill_null(0))
     ends = np.cumsum(lengths)
     low, n = 0, len(column)
     while low < n:

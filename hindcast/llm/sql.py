@@ -18,6 +18,56 @@ WITH d AS (
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
+#: Control strings of the chat template, as a regular expression.
+_CONTROL = r"(<\|im_start\|>|<\|im_sep\|>|<\|im_end\|>|<\|endoftext\|>|</?s>|\[/?INST\]|<</?SYS>>)"
+
+
+def _escaped_length(column: str) -> str:
+    doubled = f"replace({column}, '\\', '\\\\')"
+    return f"length(regexp_replace({doubled}, '{_CONTROL}', '\\1+', 'g'))"
+
+
+OP1 = f"""
+WITH t AS (
+  SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum({len('<|im_start|><|im_sep|><|im_end|>')} + {_escaped_length('role')} + {_escaped_length('text')}) AS BIGINT) AS formatted_chars
+FROM t GROUP BY conv_id
+"""
+
+OP10 = r"""
+WITH p AS (
+  SELECT page_id, lower(url) AS u, timestamp '2024-01-01 00:00:00' + to_hours(CAST(((page_id % 720) + 720) % 720 AS INTEGER)) AS fetched_at FROM pages
+), c AS (
+  SELECT page_id, fetched_at,
+         nullif(regexp_replace(regexp_extract(u, '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', ''), '') AS host FROM p
+), hosts AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
+named AS (
+  SELECT 'hosts' AS list, host AS name FROM hosts
+  UNION SELECT 'domains', array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') FROM hosts
+), made AS (
+  SELECT list, name, h, CASE WHEN list = 'hosts' AND h % 5 = 0 THEN 'allow' ELSE 'block' END AS action
+  FROM (SELECT list, name, ('0x' || substr(md5(name), 1, 8))::BIGINT AS h FROM named)
+  WHERE (list = 'domains' AND h % 2 = 0) OR (list = 'hosts' AND h % 3 = 0)
+), spans AS (
+  SELECT list, name, action, timestamp '2024-01-01 00:00:00' + to_days(CAST(h % 20 AS INTEGER)) AS valid_from,
+         CASE WHEN h % 4 = 1 THEN timestamp '2024-01-01 00:00:00' + to_days(CAST(h % 20 + 5 AS INTEGER)) ELSE timestamp '9999-12-31 00:00:00' END AS valid_to FROM made
+  UNION ALL
+  SELECT list, name, action, timestamp '2024-01-01 00:00:00' + to_days(CAST(h % 20 + 9 AS INTEGER)), timestamp '9999-12-31 00:00:00' FROM made WHERE h % 8 = 1
+), hit AS (
+  SELECT c.page_id, s.*, row_number() OVER (PARTITION BY c.page_id ORDER BY length(s.name) DESC, s.action DESC, s.list DESC) AS nth
+  FROM c JOIN spans s ON (c.host = s.name OR ends_with(c.host, '.' || s.name)) AND c.fetched_at >= s.valid_from AND c.fetched_at < s.valid_to
+)
+SELECT c.page_id, c.host, c.fetched_at, hit.action, hit.name AS matched_name, hit.list, hit.valid_from
+FROM c LEFT JOIN hit ON hit.page_id = c.page_id AND hit.nth = 1
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_exact_dedup": OP4}
+    return {"op1_chat_formatting": OP1, "op4_exact_dedup": OP4, "op10_url_filter": OP10}
