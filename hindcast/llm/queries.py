@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, fingerprints, mixing, quality, sentencepiece_fst, sharding, url_filter
+from hindcast.llm import chat, fingerprints, mixing, near_join, quality, sentencepiece_fst, sharding, url_filter
 from hindcast.llm import exact_dedup as exact
 
 
@@ -44,6 +44,10 @@ def op5_sentencepiece(spark, sf_dir):
     return sentencepiece_fst.digest(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_jaccard_join(spark, sf_dir):
+    return near_join.near_groups(_table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark, sf_dir):
     documents, _ = mixing.mix(_table(spark, sf_dir, "documents"))
     return documents.drop("source")
