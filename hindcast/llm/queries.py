@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, fingerprints, mixing, near_join, quality, sentencepiece_fst, sharding, url_filter
+from hindcast.llm import chat, fingerprints, line_dedup, mixing, near_join, quality, sentencepiece_fst, sharding, url_filter
 from hindcast.llm import exact_dedup as exact
 
 
@@ -44,6 +44,11 @@ def op5_sentencepiece(spark, sf_dir):
     return sentencepiece_fst.digest(_table(spark, sf_dir, "documents"))
 
 
+def op6_line_dedup(spark, sf_dir):
+    cleaned = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cleaned.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("clean_sha256"))
+
+
 def op7_ngram_jaccard_join(spark, sf_dir):
     return near_join.near_groups(_table(spark, sf_dir, "documents"))
 
