@@ -252,20 +252,29 @@ def default_model() -> str:
     return str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def encode(df: DataFrame, model: str | None = None, text: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with ``out`` array<int>: the pieces of the whole text."""
+def encode(df: DataFrame, model: str | None = None, text: str = "text", out: str = "ids", checked: str | None = None) -> DataFrame:
+    """``df`` with ``out`` array<int>: the pieces of the whole text.
+
+    ``checked`` names a boolean column that tells whether decoding gives the text back.
+    """
     machine = _shared(df, model)
-    schema = df.drop(out).schema.add(out, "array<int>")
+    rest = df.drop(out, *([checked] if checked else []))
+    schema = rest.schema.add(out, "array<int>")
+    if checked:
+        schema = schema.add(checked, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = machine()
         for batch in batches:
-            coded = [fst.encode_bytes(t) for t in batch.column(text).to_pylist()]
+            texts = batch.column(text).to_pylist()
+            coded = [fst.encode_bytes(t) for t in texts]
             ends = np.cumsum([0] + [len(c) // 4 for c in coded]).astype("<i4")
-            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids], [*batch.schema.names, out])
+            more = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(coded), "<i4"), pa.int32()))]
+            if checked:
+                more.append(pa.array([fst.decode(np.frombuffer(c, "<i4").tolist()) == (t or "") for c, t in zip(coded, texts)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, out, *([checked] if checked else [])])
 
-    return df.drop(out).mapInArrow(run, schema)
+    return rest.mapInArrow(run, schema)
 
 
 def decode(df: DataFrame, model: str | None = None, ids: str = "ids", out: str = "decoded") -> DataFrame:
