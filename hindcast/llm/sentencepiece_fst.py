@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLANK = "▁"
 #: Chunks whose paths a Python worker keeps, and the longest that it keeps.
@@ -259,9 +260,9 @@ def encode(df: DataFrame, model: str | None = None, text: str = "text", out: str
     """
     machine = _shared(df, model)
     rest = df.drop(out, *([checked] if checked else []))
-    schema = rest.schema.add(out, "array<int>")
+    schema = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     if checked:
-        schema = schema.add(checked, "boolean")
+        schema.add(checked, "boolean")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = machine()
