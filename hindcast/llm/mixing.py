@@ -188,7 +188,8 @@ def mix(
         "doc_id", "row_key", "source_no", "size", "start",
         F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block"),
     )
-    joined = pieces.join(drawn, ["source_no", "block"])
+    # Spark can't know how many slots a shard draws, and would broadcast them
+    joined = pieces.join(drawn.hint("merge"), ["source_no", "block"])
     first = F.greatest(F.lit(0), F.col("block") * block - F.col("start"))
     last = F.least(F.col("size"), F.col("block") * block + F.col("words") - F.col("start"))
     segments = joined.select("doc_id", "row_key", "size", "epoch", "shard", "place", first.alias("first"), last.alias("last")).where("last > first")
