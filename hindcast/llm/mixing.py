@@ -211,9 +211,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     parts = segments.groupBy("doc_id", "size", "epoch").agg(
         F.sum(F.col("last") - F.col("first")).alias("got"), F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges")
     )
-    parts = parts.select(F.col("doc_id").alias("_id"), "size", "got", "ranges")
-    joined = docs.join(parts, docs["doc_id"] == parts["_id"])
-    words = ascii_words(F.col("text"))
-    some = F.array_join(F.flatten(F.transform("ranges", lambda r: F.slice("_words", r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int")))), " ")
-    joined = joined.withColumn("_words", words).withColumn("text", F.when(F.col("got") >= F.col("size"), F.col("text")).otherwise(some))
-    return joined.withColumn("n_chars", F.char_length("text").cast("long")).select(*columns)
+    parts = parts.select(F.col("doc_id").alias("_mix_id"), (F.col("got") >= F.col("size")).alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
+    joined = docs.join(parts.hint("merge"), docs["doc_id"] == parts["_mix_id"]).withColumn("_mix_words", ascii_words(F.col("text")))
+    piece = lambda r: F.slice("_mix_words", r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int"))
+    some = F.array_join(F.flatten(F.transform("_mix_ranges", piece)), " ")
+    joined = joined.withColumn("text", F.when(F.col("_mix_whole"), F.col("text")).otherwise(some))
+    if "n_chars" in columns:
+        joined = joined.withColumn("n_chars", F.char_length("text").cast("long"))
+    return joined.select(*columns)
