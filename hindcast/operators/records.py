@@ -254,11 +254,10 @@ def bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed:
     """Cluster bootstrap interval of a mean; clusters are drawn by hash, so any engine
     draws the same.  Clusters are reduced to (sum, n) before anything is drawn."""
     sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    numbered = sums.withColumn("i", F.row_number().over(Window.orderBy("c")) - 1)
-    size = numbered.agg(F.count(F.lit(1)).alias("k"))
-    slots = numbered.select(F.col("i").alias("slot")).join(F.broadcast(size))
-    drawn = slots.join(F.broadcast(rows.sparkSession.range(draws).select(F.col("id").alias("draw"))))
+    # one row a cluster from here on: dates, not records
+    numbered = sums.withColumns({"i": F.row_number().over(Window.orderBy("c")) - 1, "k": F.count(F.lit(1)).over(Window.partitionBy())})
+    drawn = numbered.select(F.col("i").alias("slot"), "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
     pick = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), F.col("draw").cast("string"), F.col("slot").cast("string"))), 1, 8), 16, 10).cast("long") % F.col("k")
-    means = drawn.withColumn("i", pick).join(numbered, "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
+    means = drawn.withColumn("i", pick).join(numbered.drop("k"), "i").groupBy("draw").agg((F.sum("s") / F.sum("n")).alias("m"))
     tail = (1 - level) / 2
     return means.agg(F.percentile("m", F.lit(tail)).alias("low"), F.percentile("m", F.lit(1 - tail)).alias("high"), F.avg((F.col("m") <= 0).cast("double")).alias("p_not_positive"))
