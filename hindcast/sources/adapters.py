@@ -103,3 +103,27 @@ def ledger(bars_: DataFrame, horizon: int = 21, every: int = 5) -> DataFrame:
         .withColumn("created_at", F.to_timestamp("as_of_date") + F.expr("interval 17 hours"))
         .drop("m")
     )
+
+
+def panel(wide: DataFrame, every: int = 4, horizon: int = 4) -> DataFrame:
+    """A replay panel: at every fourth week each name's signal (from a hash of the key)
+    and what followed from the next open to the close of session +horizon."""
+    w = Window.partitionBy("symbol").orderBy("pos")
+    ahead = w.rowsBetween(1, horizon)
+    m = F.col("m")
+    grid = wide.select("session_date").distinct().withColumn("n", F.row_number().over(Window.orderBy("session_date")) - 1).where(F.col("n") % every == 0).select("session_date")
+    df = wide.withColumns({
+        "entry_price": F.lead("open", 1).over(w), "exit": F.lead("close", horizon).over(w), "lo": F.min("low").over(ahead), "hi": F.max("high").over(ahead),
+    }).where("exit is not null").join(grid, "session_date", "left_semi")
+    pct = lambda c: (F.col(c) / F.col("entry_price") - 1) * 100
+    df = df.select(
+        "symbol", F.col("session_date").alias("as_of"), "entry_price", pct("exit").alias("fwd_return"), ((F.col("exit") / F.col("close") - 1) * 100).alias("fwd_close_to_close"),
+        pct("lo").alias("min_low_pct"), pct("hi").alias("max_high_pct"), hash_int("symbol", "session_date").alias("m"),
+    )
+    return df.withColumns({
+        "score": (m % 101).cast("double"), "side": F.when(m % 3 == 0, "long").when(m % 3 == 1, "short"), "eligible": (m % 5 != 0).cast("int"), "available": (m % 9 != 0).cast("int"),
+        "tier": F.when(m % 7 < 2, "strong").when(m % 7 < 4, "moderate").otherwise("speculative"), "signal": F.when(m % 3 == 0, "bullish").when(m % 3 == 1, "bearish").otherwise("(no signal)"),
+        "probability_up": (35 + m % 41).cast("double"), "expected_move": 0.5 + (m % 40) / 10, "adverse_move": (m % 7 - 2) / 2, "reward_risk": (m % 25) / 10,
+        "stop_pct": (-1 - m % 3).cast("double"), "target_pct": (1 + m % 4).cast("double"), "plan_action": F.when(m % 2 == 0, "consider_buying").otherwise("wait"),
+        "error": F.when(m % 9 == 0, F.concat(F.lit("reason "), (m % 6).cast("string"))), "runtime_s": (m % 50) / 10,
+    })
