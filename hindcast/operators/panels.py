@@ -101,6 +101,11 @@ def average_rank(column: str, by: list[str]) -> Column:
     return F.rank().over(w.orderBy(column)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, column)) - 1) / 2
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson correlation, NULL where a side is constant."""
+    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+
+
 def rank_ic(rows: DataFrame, least: int = 30) -> DataFrame:
     """Spearman correlation of value and forward per (feature, session_date) of at least ``least`` names.
 
@@ -108,7 +113,7 @@ def rank_ic(rows: DataFrame, least: int = 30) -> DataFrame:
     by = ["feature", "session_date"]
     valid = rows.where("value is not null and forward is not null")
     ranked = valid.withColumns({"rv": average_rank("value", by), "rf": average_rank("forward", by)})
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), F.corr("rv", "rf").alias("ic"))
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("names"), correlation("rv", "rf").alias("ic"))
     return out.where((F.col("names") >= least) & F.col("ic").isNotNull() & ~F.isnan("ic"))
 
 
@@ -122,7 +127,7 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, rho of a (small, per-date) series."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_k", F.lit(1))
     ranked = rows.withColumns({"_rx": average_rank(x, ["_k"]), "_ry": average_rank(y, ["_k"])})
-    return ranked.agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
+    return ranked.agg(F.count(F.lit(1)).alias("n"), correlation("_rx", "_ry").alias("rho"))
 
 
 def halves_welch(df: DataFrame, factor: str, target: str) -> DataFrame:

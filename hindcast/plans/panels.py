@@ -246,7 +246,7 @@ def a37_factor_spearman(spark, sf_dir):
     rows = N.half_at_middle_date(_merged(spark, sf_dir))
     both = rows.unionByName(rows.withColumn("part", F.lit("whole")))
     ranked = both.withColumns({"rx": N.average_rank("pct_above", ["part"]), "ry": N.average_rank("excess", ["part"])})
-    return ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(F.corr("rx", "ry"), 6).alias("rho"))
+    return ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.round(N.correlation("rx", "ry"), 6).alias("rho"))
 
 
 @query(_MERGED + """, md AS (SELECT median(factor) AS med FROM mg) SELECT count_if(factor <= med) AS n_low, count_if(factor > med) AS n_high, round(avg(excess) FILTER (factor <= med), 6) AS low_mean, round(avg(excess) FILTER (factor > med), 6) AS high_mean,
