@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("session_date")
+def by_date():
+    return Window.partitionBy("symbol").orderBy("session_date")
 
 
 def normalize(raw: DataFrame, order: str = "updated_at") -> DataFrame:
@@ -60,9 +61,9 @@ def replace_series(stored: DataFrame, incoming: DataFrame, symbols: DataFrame) -
 
 def quote_summary(bars: DataFrame, year: int = 252, month: int = 21) -> DataFrame:
     """Per symbol: last close, 1-session and month change, year high and low, years of history."""
-    w = W.rowsBetween(-(year - 1), 0)
+    w = by_date().rowsBetween(-(year - 1), 0)
     df = bars.withColumns({
-        "day_change": (F.col("close") / F.lag("close", 1).over(W) - 1) * 100, "month_change": (F.col("close") / F.lag("close", month).over(W) - 1) * 100,
+        "day_change": (F.col("close") / F.lag("close", 1).over(by_date()) - 1) * 100, "month_change": (F.col("close") / F.lag("close", month).over(by_date()) - 1) * 100,
         "year_high": F.max("high").over(w), "year_low": F.min("low").over(w),
     })
     last = F.struct("close", "day_change", "month_change", "year_high", "year_low")

@@ -11,7 +11,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("pos")
+
+def by_pos():
+    return Window.partitionBy("symbol").orderBy("pos")
 
 
 @dataclass(frozen=True)
@@ -45,7 +47,7 @@ FEATURES = (
 
 
 def trailing(n: int):
-    return W.rowsBetween(-(n - 1), 0)
+    return by_pos().rowsBetween(-(n - 1), 0)
 
 
 def full(agg: Column, over: Column, n: int, least: int | None = None, window=None) -> Column:
@@ -60,7 +62,7 @@ def sma(c: Column, n: int) -> Column:
 
 def change(c: Column, n: int) -> Column:
     """n-session change in percent."""
-    return F.try_divide(c, F.lag(c, n).over(W)) * 100 - 100
+    return F.try_divide(c, F.lag(c, n).over(by_pos())) * 100 - 100
 
 
 def realized_vol(n: int, annual: int) -> Column:
@@ -75,7 +77,7 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
     q^k; the block ends, one in 512 rows, are carried by a fold over a short array.
     """
     q, a = 1 - 1 / n, 1 / n
-    delta = F.col(price) - F.lag(price).over(W)
+    delta = F.col(price) - F.lag(price).over(by_pos())
     df = bars.withColumn("_d", delta)
     weight = F.when(F.col("pos") == 1, 1.0).otherwise(a)
     df = df.withColumns({
@@ -101,8 +103,8 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
 
 def price_features(bars: DataFrame, s: Sampling = TRADING) -> DataFrame:
     """The twelve price features, one row a bar."""
-    df = bars.withColumn("log_ret", F.ln(F.try_divide(F.col("close"), F.lag("close").over(W))))
-    prev = F.lag("close").over(W)
+    df = bars.withColumn("log_ret", F.ln(F.try_divide(F.col("close"), F.lag("close").over(by_pos()))))
+    prev = F.lag("close").over(by_pos())
     df = df.withColumns({
         "_tr": F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - prev), F.abs(F.col("low") - prev)),
         "_body": F.try_divide(F.col("close") - F.col("open"), F.nullif(F.col("high") - F.col("low"), F.lit(0.0))),
@@ -180,10 +182,10 @@ def outcomes(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 21), paths: bo
     """What a position entered at the next open did: fwd_<h>, max_upside and
     max_drawdown over the last horizon, in percent; optionally daily paths."""
     h = max(horizons)
-    entry = F.coalesce(F.lead("open", 1).over(W), F.lead("close", 1).over(W))
-    ahead = W.rowsBetween(1, h)
+    entry = F.coalesce(F.lead("open", 1).over(by_pos()), F.lead("close", 1).over(by_pos()))
+    ahead = by_pos().rowsBetween(1, h)
     df = bars.withColumn("entry", F.when(entry > 0, entry))
-    df = df.withColumns({f"fwd_{n}": (F.try_divide(F.lead("close", n).over(W), F.col("entry")) - 1) * 100 for n in horizons})
+    df = df.withColumns({f"fwd_{n}": (F.try_divide(F.lead("close", n).over(by_pos()), F.col("entry")) - 1) * 100 for n in horizons})
     whole = F.count("close").over(ahead) == h
     df = df.withColumns({
         "max_upside": F.when(whole, (F.max("high").over(ahead) / F.col("entry") - 1) * 100),

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("session_date")
+def by_symbol():
+    return Window.partitionBy("symbol").orderBy("session_date")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,7 +26,7 @@ def hash_int(*parts: Column | str) -> Column:
 def _walk(sums: DataFrame) -> DataFrame:
     """Bounded random walk from (symbol, session_date, d, t, volume)."""
     ret = (F.col("d") - 0.05) * 0.4
-    to_here = BY_SYMBOL.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    to_here = by_symbol().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = sums.withColumn("ret", ret).withColumn("close", 100 * F.exp(F.sum("ret").over(to_here)))
     return df.select(
         "symbol", "session_date",
@@ -38,7 +39,7 @@ def _walk(sums: DataFrame) -> DataFrame:
 
 def positions(bars: DataFrame) -> DataFrame:
     """``bars`` with ``pos``, the 0-based session number of the symbol."""
-    return bars.withColumn("pos", F.row_number().over(BY_SYMBOL) - 1)
+    return bars.withColumn("pos", F.row_number().over(by_symbol()) - 1)
 
 
 def _items(spark: SparkSession, sf_dir: str) -> DataFrame:
