@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("bars", "records", "panels", "forecasts", "texts", "streams")
+MODULES = ("bars", "records", "panels", "forecasts", "boards", "texts", "streams")
 
 
 def query(sql: str | None = None):
