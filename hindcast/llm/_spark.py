@@ -29,17 +29,30 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, cutting lineage."""
+    """Write ``df`` to the shared folder and read it back, cutting lineage.
+
+    Shuffle files of the write go as soon as it is done: nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def ascii_words(text: Column) -> Column:
     """The words of a text: maximal runs of characters other than ASCII white space."""
-    return F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    for c in ("\t", "\n", "\x0b", "\x0c", "\r"):
+        text = F.replace(text, F.lit(c), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")  # a plain separator needs no regular expression
 
 
 def filter_bits(rows: int) -> int:

@@ -5,12 +5,12 @@ A line is the set of its words.  Lines of one set are one: the earliest, by
 corpus (a table of 2^17 hashed counts, so its size is fixed), and the first
 n - ceil(0.8 n) + 1 words of each set, its prefix, are joined: two sets of Jaccard
 similarity 0.8 share a prefix word.  Length and position of the shared word, and a
-64-bit parity signature of the words, bound the overlap from above inside the join
+128-bit parity signature of the words, bound the overlap from above inside the join
 condition; what passes is verified on the words themselves.  A line goes if an
 earlier line of the corpus, kept or not, equals or resembles it.
 
 Families of many variants would give all pairs.  So each set is first checked
-against the earliest set with which it shares a group of words of smallest hash, a
+against the earliest set with which it shares a group of its commonest words, a
 linear number of pairs; only sets that this leaves are joined with all.
 
 Defined cases: null text is a document without lines; lines without words stay; a
@@ -38,7 +38,7 @@ def _rarity(docs: DataFrame, text: str) -> bytes:
     """A class (3 a doubling) for each of the hashed counts of all words; RARITY_CELLS
     bytes, whatever the corpus, which the driver holds as a constant of the next job."""
     words = docs.select(F.explode(ascii_words(F.col(text))).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(RARITY_CELLS)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_CELLS - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     classes = bytearray([33]) * RARITY_CELLS
     for r in counts.select("cell", (F.lit(33) + F.floor(3 * F.log2(F.col("n") + 1))).cast("int").alias("c")).toLocalIterator():
         classes[r.cell] = r.c
@@ -46,33 +46,32 @@ def _rarity(docs: DataFrame, text: str) -> bytes:
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row a distinct set of words: d, l (its first line), n, sig, b (groups of smallest hashes), prefix."""
+    """One row a distinct set of words: d, l (its first line), n, two signatures, hashes of two groups of its commonest words, prefix."""
     rarity = F.lit(_rarity(docs, text))
     lines = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("d"), F.posexplode(lines_of(F.col(text))).alias("l", "line"))
-    cls = lambda h: F.ascii(F.substring(rarity, (F.pmod(h, F.lit(RARITY_CELLS)) + 1).cast("int"), F.lit(1)).cast("string"))
+    cls = lambda h: F.ascii(F.substring(rarity, (h.bitwiseAND(F.lit(RARITY_CELLS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
     hashed = lines.select("d", "l", F.array_distinct(F.transform(ascii_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h")).where(F.size("h") > 0)
-    ranked = hashed.select(
-        "d", "l",
-        F.sort_array(F.transform("h", lambda h: F.shiftleft(cls(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))).alias("t"),
-        F.sort_array(F.transform("h", lambda h: F.xxhash64(h))).alias("m"),
-    )
+    ranked = hashed.select("d", "l", F.sort_array(F.transform("h", lambda h: F.shiftleft(cls(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))).alias("t"))
     n = F.size("t")
+    # bit 20 says which of the two signatures a word counts in, the six above it which bit it flips
+    bit = lambda h, part: F.call_function("shiftleft", F.shiftright(h, 20).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - part)).cast("long"), F.shiftright(h, 21).bitwiseAND(F.lit(63)).cast("int"))
+    sig = lambda part: F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h, part)))
     some = ranked.select(
-        F.xxhash64("t").alias("k"), "d", "l", n.alias("n"),
-        F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))).alias("sig"),
-        *[F.xxhash64(F.slice("m", 2 * i + 1, 2), F.lit(i)).alias(f"b{i}") for i in range(3)],
+        F.xxhash64("t").alias("k"), "d", "l", n.alias("n"), sig(1).alias("sig"), sig(0).alias("sig2"),
+        *[F.xxhash64(F.slice("t", F.greatest(n - 9 * (i + 1), F.lit(1)), F.lit(9)), F.lit(i)).alias(f"b{i}") for i in range(2)],
         F.transform(F.slice("t", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
-    first = some.groupBy("k").agg(F.min(F.struct("d", "l", "n", "sig", "b0", "b1", "b2", "prefix")).alias("s"))
+    first = some.groupBy("k").agg(F.min(F.struct("d", "l", "n", "sig", "sig2", "b0", "b1", "prefix")).alias("s"))
     return first.select("s.*")
 
 
-def _may_resemble(x: str, y: str) -> Column:
+def _may_resemble(nx: Column, ny: Column, x: str = "x", y: str = "y") -> Column:
     """Length and signature bounds of Jaccard >= 0.8 between two sides of a join."""
-    total = F.col(f"{x}.n") + F.col(f"{y}.n")
-    least = F.floor((total * 4 + 8) / 9)  # shared words that are needed
-    apart = F.bit_count(F.col(f"{x}.sig").bitwiseXOR(F.col(f"{y}.sig")))
-    return (F.col(f"{x}.n") * 5 >= F.col(f"{y}.n") * 4) & (F.col(f"{y}.n") * 5 >= F.col(f"{x}.n") * 4) & (apart <= total - 2 * least)
+    total = nx + ny
+    apart = total - 2 * F.floor((total * 4 + 8) / 9)  # words that one of the two alone may have
+    flips = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
+    near = (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4)
+    return near & (apart > 0) & (flips("sig") + flips("sig2") <= apart)
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -103,20 +102,24 @@ def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     able = sets.where("n >= 4")  # smaller sets resemble only themselves
 
     w = Window.partitionBy("b").orderBy("d", "l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = able.select("d", "l", "n", "sig", F.explode(F.array("b0", "b1", "b2")).alias("b"))
-    led = grouped.withColumn("y", F.first(F.struct("d", "l", "n", "sig")).over(w)).select(F.struct("d", "l", "n", "sig").alias("x"), "y")
-    near = led.where((F.col("x.d") != F.col("y.d")) | (F.col("x.l") != F.col("y.l"))).where(_may_resemble("x", "y"))
+    grouped = able.select("d", "l", "n", "sig", "sig2", F.explode(F.array("b0", "b1")).alias("b"))
+    led = grouped.withColumn("y", F.first(F.struct("d", "l", "n", "sig", "sig2")).over(w)).select(F.struct("d", "l", "n", "sig", "sig2").alias("x"), "y")
+    near = led.where((F.col("x.d") != F.col("y.d")) | (F.col("x.l") != F.col("y.l"))).where(_may_resemble(F.col("x.n"), F.col("y.n")))
     gone = materialise(_verified(near.select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("m")).distinct(), docs, doc_id, text), "line-gone")
 
     flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), ["d", "l"], "left")
-    postings = flagged.select("d", "l", "n", "sig", F.coalesce("out", F.lit(0)).alias("out"), F.posexplode("prefix").alias("p", "token"))
+    # packed, as these rows are most of what is shuffled: n | position | out in one number
+    packed = (F.col("n").cast("long") * (1 << 24) + F.col("p")) * 2 + F.coalesce("out", F.lit(0))
+    postings = flagged.select("d", "l", "n", "sig", "sig2", "out", F.posexplode("prefix").alias("p", "token")).select("token", "d", "l", packed.alias("packed"), "sig", "sig2")
     x, y = postings.alias("x"), postings.alias("y")
+    n = {c: F.shiftright(F.col(f"{c}.packed"), 25).cast("int") for c in "xy"}
+    p = {c: F.shiftright(F.col(f"{c}.packed"), 1).bitwiseAND(F.lit((1 << 24) - 1)).cast("int") for c in "xy"}
     later = (F.col("x.d") > F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.l") > F.col("y.l")))
-    rest = F.least(F.col("x.n") - F.col("x.p"), F.col("y.n") - F.col("y.p"))  # with the shared word
-    placed = rest >= F.floor(((F.col("x.n") + F.col("y.n")) * 4 + 8) / 9)
+    rest = F.least(n["x"] - p["x"], n["y"] - p["y"])  # with the shared word
+    placed = rest >= F.floor(((n["x"] + n["y"]) * 4 + 8) / 9)
     # two-sided, so that both sides stay one exchange
-    open_ = F.col("x.out") * (F.col("y.n") + 1) == 0
-    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & later & open_ & placed & _may_resemble("x", "y"))
+    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) * (n["y"] + 1) == 0
+    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & later & open_ & placed & _may_resemble(n["x"], n["y"]))
     more = _verified(joined.select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("m")).distinct(), docs, doc_id, text)
     return sets.select("d", "l").join(gone.unionByName(more).hint("merge"), ["d", "l"], "left_anti")
 
