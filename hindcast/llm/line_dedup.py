@@ -53,15 +53,16 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     hashed = lines.select("d", "l", F.array_distinct(F.transform(ascii_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h")).where(F.size("h") > 0)
     ranked = hashed.select("d", "l", F.sort_array(F.transform("h", lambda h: F.shiftleft(cls(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))).alias("t"))
     n = F.size("t")
-    # bit 20 says which of the two signatures a word counts in, the six above it which bit it flips
-    bit = lambda h, part: F.call_function("shiftleft", F.shiftright(h, 20).bitwiseAND(F.lit(1)).bitwiseXOR(F.lit(1 - part)).cast("long"), F.shiftright(h, 21).bitwiseAND(F.lit(63)).cast("int"))
+    # bit 20 says which of the two signatures a word counts in, bits from 34 on which bit it flips (a shift takes six of them)
+    counts = {1: lambda h: F.shiftright(h, 20).bitwiseAND(F.lit(1).cast("long")), 0: lambda h: F.shiftright(F.bitwise_not(h), 20).bitwiseAND(F.lit(1).cast("long"))}
+    bit = lambda h, part: F.call_function("shiftleft", counts[part](h), F.shiftright(h, 34).cast("int"))
     sig = lambda part: F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h, part)))
     some = ranked.select(
         F.xxhash64("t").alias("k"), "d", "l", n.alias("n"), sig(1).alias("sig"), sig(0).alias("sig2"),
-        *[F.xxhash64(F.slice("t", F.greatest(n - 9 * (i + 1), F.lit(1)), F.lit(9)), F.lit(i)).alias(f"b{i}") for i in range(2)],
+        *[F.xxhash64(F.slice("t", F.greatest(n - 9 * (i + 1), F.lit(1)), F.lit(9)), F.lit(i)).alias(f"b{i}") for i in range(3)],
         F.transform(F.slice("t", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
-    first = some.groupBy("k").agg(F.min(F.struct("d", "l", "n", "sig", "sig2", "b0", "b1", "prefix")).alias("s"))
+    first = some.groupBy("k").agg(F.min(F.struct("d", "l", "n", "sig", "sig2", "b0", "b1", "b2", "prefix")).alias("s"))
     return first.select("s.*")
 
 
@@ -102,7 +103,7 @@ def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     able = sets.where("n >= 4")  # smaller sets resemble only themselves
 
     w = Window.partitionBy("b").orderBy("d", "l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = able.select("d", "l", "n", "sig", "sig2", F.explode(F.array("b0", "b1")).alias("b"))
+    grouped = able.select("d", "l", "n", "sig", "sig2", F.explode(F.array("b0", "b1", "b2")).alias("b"))
     led = grouped.withColumn("y", F.first(F.struct("d", "l", "n", "sig", "sig2")).over(w)).select(F.struct("d", "l", "n", "sig", "sig2").alias("x"), "y")
     near = led.where((F.col("x.d") != F.col("y.d")) | (F.col("x.l") != F.col("y.l"))).where(_may_resemble(F.col("x.n"), F.col("y.n")))
     gone = materialise(_verified(near.select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("m")).distinct(), docs, doc_id, text), "line-gone")
