@@ -12,8 +12,8 @@ index (a Feistel network with cycle walking) and joined to the block by index.
 
 Defined cases: null and word-less texts have size 0 and take 0; null is a source
 of its own, last in order; sources of no words get target 0; an empty table gives
-an empty result; repeated rows are separate documents of one order; other columns
-are ignored.  The sources' sizes, one number a source, are held by the driver, as
+an empty result; repeated rows, rows of one id and rows without an id are separate
+documents of one order; other columns are ignored.  The sources' sizes, one number a source, are held by the driver, as
 the mixture is specified by them.
 """
 
@@ -110,12 +110,14 @@ def shard_draw(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[
 def mix(
     docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, factor: float = 1.5, most: float = 2.0,
     block_words: int = BLOCK_WORDS, shard_slots: int = SHARD_SLOTS, seed: int = 7, doc_id: str = "doc_id", text: str = "text", source: str = "source",
+    row_key: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(documents, segments).
 
     documents: doc_id, source, size, source_size, target, taken of every row.
     segments: doc_id, row_key, size, epoch, shard, place, first, last: the words
-    [first, last) of a document that the slot ``place`` of ``shard`` takes.
+    [first, last) of a document that the slot ``place`` of ``shard`` takes.  row_key
+    is the column of that name, unique and not null, or else made here.
     """
     spark = docs.sparkSession
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -125,6 +127,7 @@ def mix(
             F.col(source).cast("string").alias("source"),
             F.size(ascii_words(whole)).cast("long").alias("size"),
             F.crc32(whole.cast("binary")).alias("crc"),
+            *([F.col(row_key).alias("row_key")] if row_key else []),
         ),
         "mix-sizes",
     )
@@ -159,7 +162,9 @@ def mix(
     numbered = rows.join(F.broadcast(table), rows.source.eqNullSafe(table.source)).drop(table.source)
     n = sum(r.rows for r in stats)
     placed = running_start(numbered, ["source_no"], ["doc_id", "crc"], F.col("size"), "start", spread(n))
-    placed = materialise(placed.withColumn("row_key", F.concat_ws(":", "source_no", "start", "doc_id", "size")), "mix-placed")
+    if not row_key:
+        placed = placed.withColumn("row_key", F.concat_ws(":", "source_no", "start", "doc_id", "size"))
+    placed = materialise(placed, "mix-placed")
 
     shards = max(1, -(-slots // shard_slots))
     spec = spark.sparkContext.broadcast((quotas, blocks, full, more, cut, keys))
@@ -204,15 +209,17 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix as documents: for each round, the words of a document that it takes.
 
     A document taken whole keeps its text as it is; of one taken in part the taken
-    words stay, a blank between.  Columns as in ``docs``; n_chars is set anew.
+    words stay, a blank between.  Rows are told apart by a number written with them,
+    as ids may be null or repeated.  Columns as in ``docs``; n_chars is set anew.
     """
     columns = docs.columns
-    _, segments = mix(docs, **options)
-    parts = segments.groupBy("doc_id", "size", "epoch").agg(
+    docs = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-numbered")
+    _, segments = mix(docs, row_key="_mix_row", **options)
+    parts = segments.groupBy("row_key", "size", "epoch").agg(
         F.sum(F.col("last") - F.col("first")).alias("got"), F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges")
     )
-    parts = parts.select(F.col("doc_id").alias("_mix_id"), (F.col("got") >= F.col("size")).alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
-    joined = docs.join(parts.hint("merge"), docs["doc_id"] == parts["_mix_id"]).withColumn("_mix_words", ascii_words(F.col("text")))
+    parts = parts.select(F.col("row_key").alias("_mix_key"), (F.col("got") >= F.col("size")).alias("_mix_whole"), F.col("ranges").alias("_mix_ranges"))
+    joined = docs.join(parts.hint("merge"), docs["_mix_row"] == parts["_mix_key"]).withColumn("_mix_words", ascii_words(F.col("text")))
     piece = lambda r: F.slice("_mix_words", r["first"].cast("int") + 1, (r["last"] - r["first"]).cast("int"))
     some = F.array_join(F.flatten(F.transform("_mix_ranges", piece)), " ")
     joined = joined.withColumn("text", F.when(F.col("_mix_whole"), F.col("text")).otherwise(some))

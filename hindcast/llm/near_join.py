@@ -16,8 +16,10 @@ group as a whole ever stand in one place; blocks give counts and spanning links.
 
 Defined cases: null counts as empty; texts without words have no shingles and only
 equal texts are with them; texts under five words have one shingle of all words;
-of repeated rows the smallest id represents (null last); an empty table gives an
-empty result; other columns are ignored.
+of repeated rows the smallest id represents (null last); texts that have only null
+ids are compared like all others; of each group one row is kept, also where rows
+share an id or have none; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -162,26 +164,27 @@ def components(links: DataFrame, label: str) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-SIGNED = "doc_id long, text_key string, n_shingles int, minhash binary"
+SIGNED = "doc_id long, text_key string, row long, n_shingles int, minhash binary"
 
 
-def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_key (sha256 of the text), n_shingles, minhash of every row."""
+def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """doc_id, text_key (sha256 of the text), row (its unique number), n_shingles, minhash of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, signs = [], []
-            for low, high in slices(batch.column(2)):
-                words = Words(*buffers(batch.column(2).slice(low, high - low)))
+            for low, high in slices(batch.column(3)):
+                words = Words(*buffers(batch.column(3).slice(low, high - low)))
                 found, bounds = shingle_hashes(words.hashes(), words.bounds)
                 signs += [row.tobytes() for row in minhash(found, bounds)]
                 counts += np.diff(bounds).tolist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(counts, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "text_key", "n_shingles", "minhash"]
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(counts, pa.int32()), pa.array(signs, pa.binary())], ["doc_id", "text_key", "row", "n_shingles", "minhash"]
             )
 
     whole = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(whole.cast("binary"), 256).alias("text_key"), whole.alias("text")).mapInArrow(run, SIGNED)
+    number = F.col(row).cast("long") if row else F.monotonically_increasing_id()
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(whole.cast("binary"), 256).alias("text_key"), number.alias("row"), whole.alias("text")).mapInArrow(run, SIGNED)
 
 
 def shingles(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -250,12 +253,19 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
 
     class_id is the smallest id with the same text, n_links the number of other
     texts of similarity >= threshold, group_id the smallest id of the texts that are
-    linked directly or through others; one row of each group is kept.
+    linked directly or through others (null if none has an id); one row of each
+    group is kept.
     """
-    # repeated rows of one id and text count as one
-    signed = materialise(signatures(docs, doc_id, text), "near-signed")
-    classes = signed.groupBy("text_key").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    firsts = signed.where("n_shingles > 0 and doc_id is not null").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash"))
+    return _grouped(docs, threshold, doc_id, text).drop("row")
+
+
+def _grouped(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
+    """:func:`near_groups` with the unique number ``row`` of every row, from that column if it is named."""
+    signed = materialise(signatures(docs, doc_id, text, row), "near-signed")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row"))
+    classes = signed.groupBy("text_key").agg(first.alias("first"), F.count(F.lit(1)).alias("class_size"))
+    classes = classes.select("text_key", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("first_row"), "class_size")
+    firsts = signed.where("n_shingles > 0").groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("minhash").alias("minhash"))
     # an id may stand with several texts: its rows are told apart by a number of their own
     reps = materialise(firsts.select(F.xxhash64("text_key").alias("doc_id"), F.col("doc_id").alias("first_id"), "text_key", "n_shingles", "minhash"), "near-reps")
     family = components(_band_links(reps), "near-links")
@@ -275,16 +285,19 @@ def near_groups(docs: DataFrame, threshold: float = THRESHOLD, doc_id: str = "do
     links = found.groupBy("doc_id").agg(F.sum("links").alias("n_links"))
     groups = components(found.select(F.col("doc_id").alias("u"), F.col("root").alias("v")), "near-groups")
     named = reps.select("doc_id", "text_key", "first_id").join(groups.hint("merge"), F.col("doc_id") == F.col("node")).join(links.hint("merge"), "doc_id")
-    least = named.groupBy("root").agg(F.min("first_id").alias("group_id"))
-    linked = named.join(least, "root").select("text_key", "n_links", "group_id")
-    every = classes.join(linked.hint("merge"), "text_key", "left").select("text_key", "class_id", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"))
-    out = signed.select("doc_id", "text_key").join(every.hint("merge"), "text_key")
-    return out.select("doc_id", "class_id", "class_size", "n_links", "group_id", (F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("class_id").eqNullSafe(F.col("group_id")))).alias("kept"))
+    # texts may share their first id, or have none: the smallest number of those leads
+    least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "doc_id")).alias("lead"))
+    linked = named.join(least, "root").select("text_key", "n_links", F.col("lead.first_id").alias("group_id"), (F.col("doc_id") == F.col("lead.doc_id")).alias("leads"))
+    every = classes.join(linked.hint("merge"), "text_key", "left").select("text_key", "class_id", "first_row", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
+    out = signed.select("doc_id", "text_key", "row").join(every.hint("merge"), "text_key")
+    return out.select("doc_id", "class_id", "class_size", "n_links", "group_id", (F.col("leads") & (F.col("row") == F.col("first_row"))).alias("kept"), "row")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one document of each near-duplicate group, columns unchanged."""
-    groups = near_groups(docs, threshold)
-    gone = groups.where(~F.col("kept")).select("doc_id").distinct()
-    kept = groups.where("kept").select("doc_id").distinct()
-    return docs.join(gone.join(kept, "doc_id", "left_anti").hint("merge"), "doc_id", "left_anti").select(*docs.columns)
+    """``docs`` with one row of each near-duplicate group, columns unchanged.
+
+    Rows are told apart by a number written with them, as ids may be null or repeated.
+    """
+    numbered = materialise(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-numbered")
+    kept = _grouped(numbered, threshold, row="_near_row").where("kept").select(F.col("row").alias("_near_row"))
+    return numbered.join(kept.hint("merge"), "_near_row", "left_semi").select(*docs.columns)

@@ -189,6 +189,27 @@ def test_mixed_documents(docs):
     assert got == Counter({r.doc_id: r.taken for r in mixing.mix(docs, block_words=8)[0].collect() if r.taken})
 
 
+def test_mixed_documents_of_null_and_shared_ids(spark):
+    """Every word that the mix takes of a row comes from that row, whatever its id."""
+    rows = []
+    for i in range(24):
+        size = 20 + i % 3  # texts of one id and size too
+        rows.append((None if i % 3 == 0 else i % 4, " ".join(f"d{i}x{j}" for j in range(size)), f"s{i % 2}"))
+    rows.append((2, rows[1][1], "s1"))
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken = mixing.mix(df, block_words=8)[0].agg(F.sum("taken")).first()[0]
+    got, seen = Counter(), Counter()
+    for r in mixing.mixed_documents(df, block_words=8).collect():
+        owner = {w.split("x")[0] for w in words(r.text)}
+        assert len(owner) == 1
+        assert any(owner == {t.split("x")[0]} and i == r.doc_id for i, t, _ in rows)
+        got[r.doc_id] += len(words(r.text))
+        seen.update(words(r.text))
+    assert sum(got.values()) == taken == round(1.5 * sum(len(words(t)) for _, t, _ in rows)) and got[None] > 0
+    stands = Counter(w for _, t, _ in rows for w in words(t))
+    assert all(n <= 2 * stands[w] for w, n in seen.items())
+
+
 def test_water_fill_and_permutation():
     assert mixing.water_fill([100, 100, 10], [3, 1, 2], 300) == pytest.approx([200, 80, 20])
     assert mixing.water_fill([], [], 0) == []
@@ -258,6 +279,23 @@ def test_near_groups(docs, empty):
     assert near_join.one_of_each(docs).columns == docs.columns
 
 
+def test_one_of_each_with_null_and_shared_ids(spark):
+    near = lambda k, c: " ".join([f"{k}{i}" for i in range(80)] + [c])
+    rows = [
+        (None, near("a", "one")), (None, near("a", "two")), (None, near("a", "two")),  # no id at all
+        (None, near("b", "one")), (7, near("b", "two")),  # the row with an id stays
+        (3, near("c", "one")), (3, near("c", "two")), (3, near("c", "two")),  # one id, a group of its own
+        (5, near("d", "one")), (4, near("d", "two")), (5, near("e", "one")),  # id 5 goes from one group and stays for another
+        (9, "x"), (9, "x"), (None, None), (None, ""),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = near_join.near_groups(df).collect()
+    assert len(groups) == len(rows) and sum(r.kept for r in groups) == 7
+    assert sorted(r.n_links for r in groups) == [0] * 5 + [1] * 10
+    kept = Counter((r.doc_id, (r.text or "")[:1]) for r in near_join.one_of_each(df).collect())
+    assert kept == Counter([(None, "a"), (7, "b"), (3, "c"), (4, "d"), (5, "e"), (9, "x"), (None, "")])
+
+
 def test_near_groups_of_a_family_beyond_a_block(spark):
     rng = np.random.default_rng(8)
     base = [f"b{i}" for i in range(120)]
