@@ -158,6 +158,26 @@ def test_best_fit_decreasing():
     assert len(load) == 16 and max(load.values()) - min(load.values()) < 0.01 * max(load.values())
 
 
+@pytest.mark.parametrize("part_groups, capacity", [(None, 100), (8_000, 100), (8_000, 40_000), (8_000, 200_000)])
+def test_sharding_by_capacity(spark, docs, empty, monkeypatch, part_groups, capacity):
+    """Many small groups: hashed into crates of fixed number, they would exceed 100 bytes."""
+    if part_groups:
+        monkeypatch.setattr(sharding, "PART_GROUPS", part_groups)
+    df = spark.range(200_000 if part_groups is None else 40_000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("y"), (F.col("id") % 3).cast("int")).alias("y"), F.col("id").cast("string").alias("t"))
+    df = df.select("doc_id", F.concat("t", "y").alias("text")).union(spark.createDataFrame([(-1, "z" * 90), (-2, "z" * 9), (-3, "z" * 9), (-4, None), (-5, "")], "doc_id long, text string"))
+    out = sharding.shard(df, capacity=capacity).cache()
+    assert out.count() == df.count() == out.select("doc_id").distinct().count()
+    loads = [r.n for r in out.groupBy("shard").agg(F.sum("size").alias("n")).orderBy("shard").collect()]
+    assert max(loads) <= capacity
+    groups = df.groupBy(F.coalesce("text", F.lit("")).alias("t")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("n")).collect()
+    best = len(set(sharding.fewest_shards(sorted(((r.n, r.t) for r in groups), reverse=True), capacity)))  # all in one place
+    assert best <= len(loads) <= best * 1.01 + 1 and out.agg(F.max("shard")).first()[0] == len(loads) - 1
+    assert out.where("doc_id in (-2, -3)").select("shard").distinct().count() == 1
+    assert out.groupBy("shard").agg((F.max("slot") + 1 == F.count("slot")).alias("ok")).where("not ok").count() == 0
+    assert sharding.shard(empty, capacity=capacity).count() == 0
+    assert max(r.n for r in sharding.shard(docs, capacity=10).groupBy("shard").agg(F.count_distinct("text_crc32").alias("n")).collect()) > 1
+
+
 def test_mixing(docs, empty):
     texts = base_texts()
     documents, segments = mixing.mix(docs, block_words=8, shard_slots=16)
