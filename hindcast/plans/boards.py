@@ -117,4 +117,4 @@ def f26_business_horizon(spark, sf_dir):
     n = 21
     day = F.weekday("session_date")
     over = (day + n % 5 > 4).cast("int") * 2
-    return A.bars(spark, sf_dir).where("pos % 50 = 0").select("symbol", "session_date", F.date_add("session_date", F.lit(n // 5 * 7 + n % 5) + over).alias("horizon_date"))
+    return A.bars(spark, sf_dir).select("symbol", "session_date", F.date_add("session_date", F.lit(n // 5 * 7 + n % 5) + over).alias("horizon_date"))
