@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from hindcast.functions import text as T
 from hindcast.plans.registry import query, rounded
-from hindcast.sources.adapters import hash_int, table
+from hindcast.sources.adapters import table
 from hindcast.sources.html import html_items
 
 LEXICON, NEGATIONS, INTENSIFIERS = {"for": 1.4, "was": -1.3, "with": 1.2, "by": -1.8}, ["not", "no", "is"], {"on": 1.4, "be": 0.7}
@@ -107,5 +107,12 @@ def s10_headline_json(spark, sf_dir):
 @query("""SELECT lang, sha256(count(*) || ':' || CAST(sum(('0x' || substr(md5(doc_id || '-' || n_chars), 1, 8))::BIGINT) AS BIGINT)) AS vintage FROM documents GROUP BY 1""")
 def f14_content_hash(spark, sf_dir):
     """A vintage of each language's rows: order-free, summed map-side."""
-    rows = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(hash_int("doc_id", "n_chars")).alias("s"))
+    return vintages(table(spark, sf_dir, "documents"))
+
+
+def vintages(docs):
+    """Of each language: the hash of count and sum of its whole rows' hashes, nulls told from empty texts."""
+    whole = F.to_json(F.struct(*sorted(docs.columns)), {"ignoreNullFields": "false"})
+    number = F.conv(F.substring(F.md5(whole), 1, 15), 16, 10).cast("decimal(19,0)")
+    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(number).alias("s"))
     return rows.select("lang", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("vintage"))
