@@ -41,14 +41,14 @@ def _powers(base: int, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def slices(column: pa.Array) -> Iterator[tuple[int, int]]:
-    """Row ranges of about SLICE_BYTES each."""
+def slices(column: pa.Array, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``size`` bytes each."""
     lengths = np.asarray(pc.binary_length(column).fill_null(0))
     ends = np.cumsum(lengths)
     low, n = 0, len(column)
     while low < n:
         start = ends[low - 1] if low else 0
-        high = max(low + 1, int(np.searchsorted(ends, start + SLICE_BYTES, "right")))
+        high = max(low + 1, int(np.searchsorted(ends, start + size, "right")))
         yield low, min(high, n)
         low = min(high, n)
 

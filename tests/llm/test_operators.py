@@ -13,6 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hindcast.llm import chat, exact_dedup, fingerprints, line_dedup, mixing, near_join, quality, sentencepiece_fst, sharding, url_filter
+from hindcast.llm.sentencepiece_fst import merged
 from hindcast.llm._spark import bitmap_filter, filter_bits, might_contain
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, size long, shard int, _id string, key string"
@@ -385,12 +386,85 @@ def test_sentencepiece_matches_the_library(docs, empty):
     assert sentencepiece_fst.digest(empty).count() == 0
 
 
-def test_unigram_machine_takes_the_cheapest_path():
-    scores = {"a": -1.0, "b": -1.0, "ab": -1.5, "abc": -9.0, "c": -1.0}
-    names = ["<unk>", *scores]
-    m = sentencepiece_fst.Transducer({p: i + 1 for i, p in enumerate(scores)}, [0.0, *scores.values()], names, [p.encode() for p in names], [], 0, False, False, False)
-    assert [names[i] for i in m.encode("abcab")] == ["ab", "c", "ab"]
-    assert m.encode("z") == [0]
+def _message(*fields) -> bytes:
+    """A protocol-buffer message of (tag, int, float or bytes)."""
+
+    def varint(n: int) -> bytes:
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    out = b""
+    for tag, value in fields:
+        if isinstance(value, bytes):
+            out += varint(tag << 3 | 2) + varint(len(value)) + value
+        elif isinstance(value, float):
+            out += varint(tag << 3 | 5) + np.array(value, "<f4").tobytes()
+        else:
+            out += varint(tag << 3) + varint(value)
+    return out
+
+
+def written_model(pieces: list[tuple[str, float, int]], kind: int, byte_fallback: bool, tidy: bool, charmap: bytes = b"") -> bytes:
+    """A model by hand: kind 1 is unigram, 2 merges."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if byte_fallback] + pieces
+    spec = _message((1, b"own"), (2, charmap), (3, 1), (4, int(tidy)), (5, 1))
+    return b"".join(_message((1, _message((1, p.encode()), (2, s), (3, k)))) for p, s, k in rows) + _message((2, _message((3, kind), (35, int(byte_fallback))))) + _message((3, spec))
+
+
+def _written_pieces(kind: int) -> list[tuple[str, float, int]]:
+    """1,000 pieces; unigram scores are binary fractions, so that sums are exact and ties are ties,
+    and each merge joins two neighbours of a text under the earlier merges."""
+    rng = np.random.default_rng(kind)
+    names, ranks = list("abcdefg▁é日"), {}
+    while len(names) < 1000:
+        if kind == 1:
+            p = "".join(rng.choice(names[:40] if rng.random() < 0.7 else names[:9], 2))
+        else:
+            parts = merged("▁" + "".join(rng.choice(list("abcdefg日"), 8, p=[0.3, 0.2, 0.2, 0.1, 0.1, 0.04, 0.04, 0.02])), ranks)[0]
+            k = rng.integers(len(parts))
+            p = "".join(parts[k : k + 2])
+        if p not in names and "▁" not in p[1:]:
+            ranks[p] = len(names)
+            names.append(p)
+    return [(p, float(-k if kind == 2 else -int(rng.integers(1, 512)) / 64 - len(p) / 8), 1) for k, p in enumerate(names)]
+
+
+@pytest.mark.parametrize("kind, fallback, tidy, rule, own", [(1, True, False, "", []), (1, False, True, "", []), (1, True, True, "nfkc", []), (1, False, False, "nmt_nfkc", ["ab<x>"]), (2, True, False, "", []), (2, False, True, "nmt_nfkc", []), (2, True, True, "nfkc_cf", ["ab<x>"])])
+def test_written_models_match_the_library(kind, fallback, tidy, rule, own):
+    import sentencepiece
+
+    charmap = b""
+    if rule:
+        spec = sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_normalizer_spec()
+        charmap = dict(sentencepiece_fst._fields(spec))[2]
+    raw = written_model(_written_pieces(kind) + [(p, 0.0, 4) for p in own], kind, fallback, tidy, charmap)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    machine = sentencepiece_fst.compile_model(raw)
+    rng = np.random.default_rng(9)
+    letters = [*"abcdefghabcdefgh   é日zZÉ ﬁ①ＡＢ", "e\u0301", "\u3000", "\t", *own]
+    texts = ["", " ", "  a  b ", "zzz", "z", " z z", "日日z日", "ab" * 100, "abcdefgh" * 30, "a" + "\u0301" * 3] + ["".join(rng.choice(letters, rng.integers(1, 120))) for _ in range(400)]
+    texts += ["".join(rng.choice(list("abcdefgh"), 300)) for _ in range(5)]
+    import pyarrow as pa
+
+    ids, bounds = machine.encode_texts(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t), t
+
+
+def test_links_are_what_merging_gives():
+    """The seam rule against merging the characters of both pieces."""
+    pieces = _written_pieces(2)
+    machine = sentencepiece_fst.compile_model(written_model(pieces, 2, True, False))
+    ranks = {p: -s for p, s, _ in pieces if len(p) > 1}
+    ids = {p: 259 + i for i, (p, _, _) in enumerate(pieces)}
+    made = [p for p in ids if merged(p, ranks)[0] == [p]]
+    rng = np.random.default_rng(3)
+    a, b = rng.choice(made, 4000), rng.choice(made, 4000)
+    got = machine.linked(np.array([ids[p] for p in a]), np.array([ids[p] for p in b]))
+    want = np.array([merged(x + y, ranks)[0] == [x, y] for x, y in zip(a, b)])
+    assert (got == want).all() and 0 < want.sum() < len(want)
 
 
 LAYOUTS = [
