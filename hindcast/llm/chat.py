@@ -11,8 +11,8 @@ backslash is doubled and every control string gets one after its first character
 which ``unescape`` takes back.
 
 Defined cases: null or absent text is empty, null roles are empty; records that no
-mapping covers (and broken JSON) give no turns and a row in ``unmapped``; turns
-that tie stand in the order of role and text, repeated rows stay repeated; a null
+mapping covers (and JSON that is broken or nested too deep to decode) give no turns
+and a row in ``unmapped``; half a surrogate pair in a text becomes U+FFFD; turns that tie stand in the order of role and text, repeated rows stay repeated; a null
 conversation id is a conversation of its own; an empty table gives an empty
 result; other columns and unknown fields are ignored.
 """
@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -66,23 +66,25 @@ MAPPINGS = (
 )
 
 
-def paths(value, prefix: str = "") -> set[str]:
+def paths(value) -> set[str]:
     """Nested field paths of a decoded record."""
     found: set[str] = set()
-    if isinstance(value, dict):
-        for k, v in value.items():
-            at = f"{prefix}.{k}" if prefix else k
-            found.add(at)
-            found |= paths(v, at)
-    elif isinstance(value, list):
-        for v in value:
-            found |= paths(v, f"{prefix}[]")
+    todo = [(value, "")]
+    while todo:
+        value, prefix = todo.pop()
+        if isinstance(value, dict):
+            for k, v in value.items():
+                at = f"{prefix}.{k}" if prefix else k
+                found.add(at)
+                todo.append((v, at))
+        elif isinstance(value, list):
+            todo += [(v, f"{prefix}[]") for v in value if isinstance(v, (dict, list))]
     return found
 
 
 def fingerprint(value) -> str:
     """Hash of the sorted paths."""
-    return hashlib.blake2b("\n".join(sorted(paths(value))).encode(), digest_size=8).hexdigest()
+    return hashlib.blake2b("\n".join(sorted(paths(value))).encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
 def select_mapping(value, mappings: tuple[Mapping, ...] = MAPPINGS) -> Mapping | None:
@@ -119,34 +121,48 @@ def canonical(value, mapping: Mapping) -> list[tuple[str, str]]:
     return [(named.get(r, r), t) for r, t in turns]
 
 
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string()}
+
+
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows as a batch; whole numbers stay exact beside nulls."""
+    fields = [c.split() for c in schema.split(", ")]
+    columns = list(zip(*rows)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, _TYPES[t]) for c, (_, t) in zip(columns, fields)], [n for n, _ in fields])
+
+
+def _whole(text: str) -> str:
+    """A text as UTF-8 can hold it: halves of a surrogate pair become U+FFFD."""
+    return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
 TURNS = "conv_id long, turn long, item int, role string, text string, layout string, schema_fingerprint string"
 
 
 def to_turns(records: DataFrame, record: str = "record", conv_id: str = "conv_id", turn: str = "turn", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
     """Canonical turns of JSON records; a record without a mapping gives one row of null layout and item."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen: dict[str, Mapping | None] = {}
         for batch in batches:
             rows = []
-            for conv, at, raw in zip(batch["conv_id"], batch["turn"], batch["record"]):
+            for conv, at, raw in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     value = json.loads(raw) if raw is not None else None
-                except ValueError:
-                    value = None
-                mark = fingerprint(value)
-                if mark not in chosen:
-                    chosen[mark] = select_mapping(value, mappings)
-                mapping = chosen[mark]
-                conv, at = (None if pd.isna(x) else int(x) for x in (conv, at))
-                if mapping is None:
+                    mark = fingerprint(value)
+                    if mark not in chosen:
+                        chosen[mark] = select_mapping(value, mappings)
+                    said = canonical(value, chosen[mark]) if chosen[mark] else None
+                except (ValueError, RecursionError):  # no JSON, or nested too deep to be a conversation
+                    mark, said = fingerprint(None), None
+                if said is None:
                     rows.append((conv, at, None, None, None, None, mark))
                 else:
-                    rows += [(conv, at, i, r, t, mapping.name, mark) for i, (r, t) in enumerate(canonical(value, mapping))]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in TURNS.split(", ")]).astype({"conv_id": "Int64", "turn": "Int64", "item": "Int32"})
+                    rows += [(conv, at, i, _whole(r), _whole(t), chosen[mark].name, mark) for i, (r, t) in enumerate(said)]
+            yield _batch(rows, TURNS)
 
     narrow = records.select(F.col(conv_id).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"), F.col(record).alias("record"))
-    return narrow.mapInPandas(run, TURNS)
+    return narrow.mapInArrow(run, TURNS)
 
 
 def unmapped(turns: DataFrame) -> DataFrame:
@@ -193,17 +209,15 @@ def format_turns(turns: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) ->
     """One segment a turn; a conversation is its segments in order, without anything
     between.  [loss_start, loss_end) of a segment is under the loss mask."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [render(r or "", t or "") for r, t in zip(batch["role"], batch["text"])]
-            under = [r in loss_roles for r in batch["role"]]
-            yield batch[["conv_id", "turn", "item", "role"]].assign(
-                segment=[m[0] for m in made],
-                loss_start=[m[1] if u else 0 for m, u in zip(made, under)],
-                loss_end=[m[2] if u else 0 for m, u in zip(made, under)],
-            ).astype({"conv_id": "Int64", "turn": "Int64", "item": "Int32"})
+            roles = batch.column(3).to_pylist()
+            made = [render(r or "", t or "") for r, t in zip(roles, batch.column(4).to_pylist())]
+            under = [(m[1], m[2]) if r in loss_roles else (0, 0) for m, r in zip(made, roles)]
+            new = [pa.array([m[0] for m in made], pa.string()), *[pa.array([u[i] for u in under], pa.int32()) for i in range(2)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *new], [c.split()[0] for c in FORMATTED.split(", ")])
 
-    return turns.where("layout is not null").select("conv_id", "turn", "item", "role", "text").mapInPandas(run, FORMATTED)
+    return turns.where("layout is not null").select("conv_id", "turn", "item", "role", "text").mapInArrow(run, FORMATTED)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -216,7 +230,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
     hash states only, so a conversation of any length takes bounded memory.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
 
         def row():
@@ -225,8 +239,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for conv, segment, start, end in zip(batch["conv_id"], batch["segment"], batch["loss_start"], batch["loss_end"]):
-                conv = None if pd.isna(conv) else int(conv)
+            for conv, segment, start, end in zip(*(c.to_pylist() for c in batch.columns)):
                 if state is None or conv != now:
                     if state is not None:
                         rows.append(row())
@@ -238,13 +251,9 @@ def read_back(formatted: DataFrame) -> DataFrame:
                 state[2] += len(under)
                 state[3].update(under.encode())
                 state[4] += len(segment)
-            yield _digest_frame(rows)
+            yield _batch(rows, DIGEST)
         if state is not None:
-            yield _digest_frame([row()])
+            yield _batch([row()], DIGEST)
 
     ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "item", "segment")
-    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInPandas(run, DIGEST)
-
-
-def _digest_frame(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in DIGEST.split(", ")]).astype({"conv_id": "Int64"})
+    return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, DIGEST)
