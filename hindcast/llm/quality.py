@@ -110,29 +110,41 @@ def _forward(w: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray):
     return p, h, t, g, a, z
 
 
+def shapes(features: int) -> dict[str, tuple[int, ...]]:
+    """Shapes of the weights."""
+    return {
+        "encode": (features, HIDDEN), "encode0": (HIDDEN,), "value": (HIDDEN, ATTENTION), "gate": (HIDDEN, ATTENTION),
+        "attend": (ATTENTION,), "score": (HIDDEN,), "score0": (),
+    }
+
+
+def gradient(w: dict[str, np.ndarray], x: np.ndarray, bags: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean cross-entropy of whole bags; classes weigh the same."""
+    share, start, counts = y.mean(), bags[:-1], np.diff(bags)
+    p, h, t, g, a, z = _forward(w, x, bags)
+    dz_out = (p - y) * np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    dz = np.repeat(dz_out[:, None] * w["score"], counts, 0)
+    da = (dz * h).sum(1)
+    draw = a * (da - np.repeat(np.add.reduceat(a * da, start), counts))
+    dt, dg = draw[:, None] * w["attend"] * g * (1 - t * t), draw[:, None] * w["attend"] * t * g * (1 - g)
+    du = (a[:, None] * dz + dt @ w["value"].T + dg @ w["gate"].T) * (1 - h * h)
+    return {
+        "encode": x.T @ du, "encode0": du.sum(0), "value": h.T @ dt, "gate": h.T @ dg,
+        "attend": (t * g).T @ draw, "score": z.T @ dz_out, "score0": dz_out.sum(),
+    }
+
+
 def fit(x: np.ndarray, bags: np.ndarray, y: np.ndarray, steps: int = 400, seed: int = 3) -> Model:
-    """Adam on the cross-entropy of whole bags; classes weigh the same."""
+    """Adam on :func:`gradient`, with a small weight decay."""
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(x.shape[1]), np.ones(x.shape[1]), {}, float(y.mean()) if len(y) else 0.5)
     mean, scale = x.mean(0), x.std(0) + 0.05
     x = (x - mean) / scale
     rng = np.random.default_rng(seed)
-    shape = {"encode": (x.shape[1], HIDDEN), "encode0": (HIDDEN,), "value": (HIDDEN, ATTENTION), "gate": (HIDDEN, ATTENTION), "attend": (ATTENTION,), "score": (HIDDEN,), "score0": ()}
-    w = {k: rng.normal(0, 0.15, s) for k, s in shape.items()}
-    m, v = {k: np.zeros(s) for k, s in shape.items()}, {k: np.zeros(s) for k, s in shape.items()}
-    share = y.mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
-    start, counts = bags[:-1], np.diff(bags)
+    w = {k: rng.normal(0, 0.15, s) for k, s in shapes(x.shape[1]).items()}
+    m, v = {k: np.zeros(np.shape(x)) for k, x in w.items()}, {k: np.zeros(np.shape(x)) for k, x in w.items()}
     for step in range(1, steps + 1):
-        p, h, t, g, a, z = _forward(w, x, bags)
-        dz_out = (p - y) * weight
-        dz = dz_out[:, None] * w["score"]
-        da = (np.repeat(dz, counts, 0) * h).sum(1)
-        draw = a * (da - np.repeat(np.add.reduceat(a * da, start), counts))
-        dt, dg = draw[:, None] * w["attend"] * g * (1 - t * t), draw[:, None] * w["attend"] * t * g * (1 - g)
-        dh = a[:, None] * np.repeat(dz, counts, 0) + dt @ w["value"].T + dg @ w["gate"].T
-        du = dh * (1 - h * h)
-        grad = {"encode": x.T @ du, "encode0": du.sum(0), "value": h.T @ dt, "gate": h.T @ dg, "attend": (t * g).T @ draw, "score": z.T @ dz_out, "score0": dz_out.sum()}
+        grad = gradient(w, x, bags, y)
         for k in w:
             d = grad[k] + 1e-4 * w[k]
             m[k], v[k] = 0.9 * m[k] + 0.1 * d, 0.99 * v[k] + 0.01 * d * d
