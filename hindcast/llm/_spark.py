@@ -48,11 +48,21 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def ascii_words(text: Column) -> Column:
+def single_blanks(text: Column, inside: bool = False) -> Column:
+    """A text with other ASCII white space as blanks.
+
+    Few texts have any but line feeds, and to look for a character is cheaper than
+    to replace it.  ``inside`` says that the text is a line, without line feeds.
+    """
+    rare = "\t\x0b\x0c\r"
+    held = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in rare])
+    plain = text if inside else F.replace(text, F.lit("\n"), F.lit(" "))
+    return F.when(held, F.translate(text, rare + "\n", " " * (len(rare) + 1))).otherwise(plain)
+
+
+def ascii_words(text: Column, inside: bool = False) -> Column:
     """The words of a text: maximal runs of characters other than ASCII white space."""
-    for c in ("\t", "\n", "\x0b", "\x0c", "\r"):
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return F.array_remove(F.split(text, " "), "")  # a plain separator needs no regular expression
+    return F.array_remove(F.split(single_blanks(text, inside), " "), "")  # a plain separator needs no regular expression
 
 
 def filter_bits(rows: int) -> int:
@@ -107,7 +117,18 @@ def semi_by_filter(df: DataFrame, key: str, keys: DataFrame) -> DataFrame:
     return thin.where("_maybe").drop("_maybe").join(keys.select(key).distinct(), key, "left_semi")
 
 
-def spread(rows: int, per: int = 50_000, least: int = 32) -> int:
+def join_by_key(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """Inner join of ``left`` with one row a key, whose column ``size`` counts the key's rows in ``left``.
+
+    Keys with over a thousandth of all ``rows`` number under 1,000: their side is
+    broadcast, so that no key lands in one task; all others are shuffled.
+    """
+    hot = right.where(F.col(size) * 1000 > rows)
+    cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.hint("merge"), key)
+    return left.join(F.broadcast(hot), key).unionByName(cold)
+
+
+def spread(rows: int, per: int = 50_000, least: int = 512) -> int:
     """How many sub-buckets keep about ``per`` rows of the largest group together."""
     return max(least, -(-rows // per))
 
@@ -115,11 +136,11 @@ def spread(rows: int, per: int = 50_000, least: int = 32) -> int:
 def running_start(df: DataFrame, group: list[str], order: list[str], amount: Column, out: str, buckets: int) -> DataFrame:
     """Add ``out``: the sum of ``amount`` over earlier rows of the same group.
 
-    Rows of a group are dealt over ``buckets`` hash buckets of ``order[0]``; a
+    Rows of a group are dealt over ``buckets`` hash buckets of ``order``; a
     small table of bucket sums gives each bucket's offset and a window inside
     (group, bucket) the rest, so no group has to fit into one task.
     """
-    df = df.withColumn("_bucket", F.pmod(F.xxhash64(F.col(order[0])), F.lit(buckets))).withColumn("_amount", amount)
+    df = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets))).withColumn("_amount", amount)
     inner = Window.partitionBy(*group, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     sums = df.groupBy(*group, "_bucket").agg(F.sum("_amount").alias("_sum"))
     outer = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import bitmap_filter, filter_bits, materialise, might_contain
+from hindcast.llm._spark import bitmap_filter, filter_bits, join_by_key, materialise, might_contain
 
 #: ASCII white space that does not count when texts are compared.
 IGNORED = [" ", "\t", "\n", "\x0b", "\x0c", "\r"]
@@ -42,7 +42,8 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
     rows = materialise(digests(docs, doc_id, text), "exact-digests")
-    bits = filter_bits(rows.count())
+    n = rows.count()
+    bits = filter_bits(n)
     repeated = bitmap_filter(rows, "text_sha256", bits, at_least=2)
     tested = might_contain(rows, "text_sha256", repeated, bits, "maybe")
 
@@ -57,9 +58,9 @@ def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     same = Window.partitionBy("text_sha256", "doc_id").orderBy(F.col("n_chars").desc())
     maybe = tested.where("maybe").withColumn("nth", F.row_number().over(same))
     best = maybe.groupBy("text_sha256").agg(
-        F.max(F.struct("n_chars", -F.col("doc_id"))).alias("best"), F.count(F.lit(1)).alias("group_size")
-    ).select("text_sha256", "group_size", (-F.col("best.col2")).alias("keep_id"))
-    resolved = maybe.join(best, "text_sha256").select(
+        F.max(F.struct("n_chars", F.bitwise_not("doc_id").alias("least"))).alias("best"), F.count(F.lit(1)).alias("group_size")
+    ).select("text_sha256", "group_size", F.bitwise_not("best.least").alias("keep_id"))
+    resolved = join_by_key(maybe, best, "text_sha256", "group_size", n).select(
         "doc_id",
         "keep_id",
         "group_size",

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import materialise, semi_by_filter
+from hindcast.llm._spark import join_by_key, materialise, semi_by_filter
 from hindcast.llm._text import Words, buffers, fmix, shingle_hashes, slices, texts_shingles
 
 PERMUTATIONS = 128
@@ -289,7 +289,7 @@ def _grouped(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: st
     least = named.groupBy("root").agg(F.min(F.struct(F.col("first_id").isNull().alias("none"), "first_id", "doc_id")).alias("lead"))
     linked = named.join(least, "root").select("text_key", "n_links", F.col("lead.first_id").alias("group_id"), (F.col("doc_id") == F.col("lead.doc_id")).alias("leads"))
     every = classes.join(linked.hint("merge"), "text_key", "left").select("text_key", "class_id", "first_row", "class_size", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("group_id", "class_id").alias("group_id"), F.coalesce("leads", F.lit(True)).alias("leads"))
-    out = signed.select("doc_id", "text_key", "row").join(every.hint("merge"), "text_key")
+    out = join_by_key(signed.select("doc_id", "text_key", "row"), every, "text_key", "class_size", signed.count())
     return out.select("doc_id", "class_id", "class_size", "n_links", "group_id", (F.col("leads") & (F.col("row") == F.col("first_row"))).alias("kept"), "row")
 
 

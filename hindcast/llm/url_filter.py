@@ -24,20 +24,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hindcast.llm._spark import bitmap_filter, filter_bits, might_contain
+
 FOREVER = "9999-12-31 00:00:00"
 
 
 def host_of(url: Column) -> Column:
     """Lower-case host of a URL, null if there is none."""
-    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)
+    host = F.regexp_extract(F.lower(url), r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?(\[[0-9a-f:.]*\]|[^/?#:@]+)", 1)
     host = F.regexp_replace(host, r"\.+$", "")
     return F.when(host != "", host)
 
 
 def names_of(host: Column) -> Column:
-    """The host and its parent domains, down to one label."""
+    """The host and its parent domains, down to one label; an IP address has no parents."""
+    address = host.rlike(r"^\[|^[0-9]+(\.[0-9]+){3}$")
     labels = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    return F.when(address, F.array(host)).otherwise(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -62,10 +65,11 @@ def evaluate(captures: DataFrame, entries: DataFrame, page_id: str = "page_id",
     rows = captures.select(F.col(page_id).alias("page_id"), host_of(F.col(url)).alias("host"), F.col(at).alias("fetched_at"))
     asked = rows.select("host", "fetched_at").where("host is not null and fetched_at is not null").distinct()
     named = asked.withColumn("name", F.explode(names_of(F.col("host"))))
-    active = intervals(entries)
-    held = named.join(active, (named["name"] == active["name"]) & (named["fetched_at"] >= active["valid_from"]) & (named["fetched_at"] < active["valid_to"])).select(
-        "host", "fetched_at", active["name"], "list", "action", "valid_from"
-    )
+    active = intervals(entries).withColumnRenamed("name", "listed")
+    # names that no list has, as most top-level domains, go before anything is shuffled
+    bits = filter_bits(active.count())
+    named = might_contain(named, "name", bitmap_filter(active, "listed", bits), bits, "maybe").where("maybe").drop("maybe")
+    held = named.join(active, (F.col("name") == F.col("listed")) & (F.col("fetched_at") >= F.col("valid_from")) & (F.col("fetched_at") < F.col("valid_to"))).drop("listed", "valid_to")
     best = held.groupBy("host", "fetched_at").agg(
         F.max(F.struct(F.length("name").alias("length"), F.col("action"), "list", "name", "valid_from")).alias("best")
     )
