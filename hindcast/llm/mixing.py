@@ -19,6 +19,7 @@ the mixture is specified by them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,15 +82,50 @@ def permuted(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.n
     return out.astype(np.int64)
 
 
+#: Slots up to which numpy draws without replacement.
+NUMPY_SLOTS = 1_000_000_000
+
+
+def _log_step(a: float, d: float) -> float:
+    """ln((a + d)! / a!), exact to rounding also where both are huge."""
+    if min(a, a + d) < 1_000_000:
+        return math.lgamma(a + d + 1) - math.lgamma(a + 1)
+    return d * math.log(a) + (a + d + 0.5) * math.log1p(d / a) - d + (1 / (a + d) - 1 / a) / 12
+
+
+def hypergeometric(good: int, whole: int, take: int, rng: np.random.Generator) -> int:
+    """How many of ``take`` of ``whole`` slots are among ``good``, drawn without replacement at any size.
+
+    Binomial draws are accepted in proportion to the two laws' ratio, which falls on
+    both sides of (take - 1) * good / whole.
+    """
+    if not good or not take or good == whole or take == whole:
+        return min(good, take)
+    if 2 * take > whole:  # what is left behind is the smaller draw
+        return good - hypergeometric(good, whole, whole - take, rng)
+    bad, p = whole - good, good / whole
+    low, high = max(0, take - bad), min(good, take)
+    top = min(max(math.ceil((take - 1) * p), low), high)
+    while True:
+        x = int(rng.binomial(take, p))
+        if not low <= x <= high:
+            continue
+        d = x - top
+        ratio = d * math.log(bad / good) - _log_step(good - top, -d) - _log_step(bad - take + top, d)
+        if math.log(1 - rng.random()) <= ratio:
+            return x
+
+
 def _split(counts: np.ndarray, take: int, rng: np.random.Generator) -> np.ndarray:
-    """``take`` of the slots in ``counts``, drawn without replacement."""
+    """``take`` of the slots in ``counts``, drawn without replacement: one law at every size."""
     whole = int(counts.sum())
-    if whole < 1_000_000_000:
+    if whole < NUMPY_SLOTS:
         return rng.multivariate_hypergeometric(counts, take, method="marginals")
-    share = np.floor(counts * (take / whole)).astype(np.int64)  # the noise is below a millionth here
-    rest = take - int(share.sum())
-    share[np.argsort(-(counts - share), kind="stable")[:rest]] += 1
-    return share
+    out = np.zeros_like(counts)
+    for i, n in enumerate(counts.tolist()):
+        out[i] = hypergeometric(n, whole, take, rng)
+        whole, take = whole - n, take - int(out[i])
+    return out
 
 
 def shard_draw(quotas: np.ndarray, shard: int, shards: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
