@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import math
 import re
 import zlib
 from collections import Counter
@@ -91,6 +92,12 @@ def test_exact_dedup_repeated_rows_and_null_ids(spark):
     rows = [(1, "a b"), (1, "a b"), (None, "ab"), (2, "ab")]
     out = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sum(r.kept for r in out) == 1 and {r.keep_id for r in out} == {1} and {r.group_size for r in out} == {4}
+    least = -(2**63)
+    out = exact_dedup.exact_dedup(spark.createDataFrame([(least, "ab"), (2, "a b"), (least, "ab")], "doc_id long, text string")).collect()
+    assert {r.keep_id for r in out} == {2} and len(out) == 3
+    many = spark.range(3000).selectExpr("id as doc_id", "concat('t', if(id % 3 = 0, 0, id div 4)) as text")  # one class with a third of the rows
+    out = exact_dedup.exact_dedup(many).collect()
+    assert len(out) == 3000 and sum(r.kept for r in out) == len({r.text_sha256 for r in out})
 
 
 def test_fingerprints(docs, empty):
@@ -244,6 +251,27 @@ def test_water_fill_and_permutation():
     assert all((draws[s][1] == sum((d[0] for d in draws[:s]), np.zeros(4, int))).all() for s in range(9))
 
 
+def test_draws_have_one_law_at_every_size(monkeypatch):
+    """The sampler for huge urns against numpy's, on urns that both can draw from."""
+    rng = np.random.default_rng(6)
+    for good, whole, take in [(3, 10, 4), (5, 8, 7), (400, 5000, 2500), (4_000_000, 9_000_000, 3_000_000), (2, 900_000_000, 400_000_000)]:
+        mine = np.array([mixing.hypergeometric(good, whole, take, rng) for _ in range(3000)], float)
+        mean, p = take * good / whole, good / whole
+        sd = np.sqrt(take * p * (1 - p) * (whole - take) / (whole - 1))
+        assert abs(mine.mean() - mean) < 5 * sd / np.sqrt(3000) and abs(mine.std() / sd - 1) < 0.08
+        assert mine.min() >= max(0, take - whole + good) and mine.max() <= min(good, take)
+    exact = np.bincount([mixing.hypergeometric(4, 9, 5, rng) for _ in range(20000)], minlength=5) / 20000
+    want = [math.comb(4, x) * math.comb(5, 5 - x) / math.comb(9, 5) for x in range(5)]
+    assert np.abs(exact - want).max() < 0.02
+    huge = np.array([7 * 10**12, 5, 0, 3 * 10**12])
+    out = mixing._split(huge, 4 * 10**12, rng)
+    assert out.sum() == 4 * 10**12 and (out <= huge).all() and abs(out[0] - 2.8e12) < 1e7
+    monkeypatch.setattr(mixing, "NUMPY_SLOTS", 0)
+    quotas = np.array([50, 7, 0, 143])
+    draws = [mixing.shard_draw(quotas, s, 9, 3) for s in range(9)]
+    assert (sum(d[0] for d in draws) == quotas).all() and max(d[0].sum() for d in draws) - min(d[0].sum() for d in draws) <= 1
+
+
 def test_line_dedup(docs, empty):
     texts = base_texts()
     order: list[tuple[frozenset, int, int]] = []
@@ -280,6 +308,23 @@ def test_line_dedup_of_a_family(spark):
     assert {r.doc_id for r in out if r.n_removed == 0} == want
 
 
+def test_line_dedup_of_null_and_shared_ids(spark):
+    """Every row stands for itself: nothing unique goes, later copies do."""
+    line = " ".join(f"u{i}" for i in range(10))
+    rows = [(0, line), (None, line + " more"), (None, "only here"), (7, "seven one"), (7, "seven two\n" + line), (8, "same row"), (8, "same row"), (None, "no id\n\n"), (None, "no id\n\n"), (None, None), (None, ""), (None, "")]
+    out = sorted((r.doc_id is None, r.doc_id or 0, r.text or "", r.n_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = [(0, line, 0), (None, "", 1), (None, "only here", 0), (7, "seven one", 0), (7, "seven two", 1), (8, "same row", 0), (8, "", 1), (None, "no id\n\n", 0), (None, "\n", 1), (None, None, 0), (None, "", 0), (None, "", 0)]
+    assert out == sorted((i is None, i or 0, t or "", n) for i, t, n in want)
+
+
+def test_line_dedup_of_many_lines(spark):
+    """Linear in the lines of one text."""
+    lines = [f"w{i} v{i % 7} x{i // 3} y" for i in range(100_000)]
+    text = "\n".join(lines + lines)
+    row = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, lines[5])], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert row[0].text == "\n".join(lines) and row[0].n_removed == 100_000 and row[1].text == ""
+
+
 def test_near_groups(docs, empty):
     texts = base_texts()
     ids = {}
@@ -358,6 +403,37 @@ def test_quality(spark, empty):
     assert quality.classify(empty, known).count() == 0
 
 
+def _bag_loss(w, x, bags, y):
+    """Forward pass of one bag after the other, as the formulas say."""
+    loss, scores = 0.0, []
+    for i in range(len(y)):
+        h = np.tanh(x[bags[i] : bags[i + 1]] @ w["encode"] + w["encode0"])
+        raw = np.array([w["attend"] @ (np.tanh(v @ w["value"]) / (1 + np.exp(-(v @ w["gate"])))) for v in h])
+        a = np.exp(raw - raw.max())
+        p = 1 / (1 + np.exp(-((a / a.sum()) @ h @ w["score"] + w["score0"])))
+        scores.append(p)
+        share = y.mean()
+        loss -= (0.5 / share if y[i] else 0.5 / (1 - share)) / len(y) * np.log(p if y[i] else 1 - p)
+    return loss, np.array(scores)
+
+
+def test_forward_pass_and_gradient_against_loops():
+    """Scores of whole bags, and the gradient against finite differences, of every weight."""
+    rng = np.random.default_rng(11)
+    x, bags, y = rng.normal(size=(23, 6)), np.array([0, 1, 7, 12, 23]), np.array([1.0, 0, 0, 1])
+    w = {k: rng.normal(0, 0.5, s) for k, s in quality.shapes(6).items()}
+    scores = quality._forward(w, x, bags)[0]
+    assert np.allclose(scores, _bag_loss(w, x, bags, y)[1])
+    grad = quality.gradient(w, x, bags, y)
+    for k in w:
+        for at in np.ndindex(np.shape(w[k])):
+            moved = {j: np.array(v, float) for j, v in w.items()}
+            moved[k][at] += 1e-5
+            high = _bag_loss(moved, x, bags, y)[0]
+            moved[k][at] -= 2e-5
+            assert abs((high - _bag_loss(moved, x, bags, y)[0]) / 2e-5 - np.asarray(grad[k])[at]) < 1e-6
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     x, bags, y = rng.normal(size=(60, quality.N_FEATURES)), np.array([0, 10, 25, 40, 60]), np.array([0.0, 1, 1, 0])
@@ -490,6 +566,18 @@ def test_chat_layouts(spark):
     assert chat.fingerprint({"a": [{"b": 1}, {"c": 2}]}) == chat.fingerprint({"a": [{"c": 0, "b": None}]})
 
 
+def test_chat_of_odd_records(spark):
+    """Broken, too deep and half-encoded records neither crash nor change ids beside null."""
+    big = 9007199254740993
+    rows = [(big, 0, '{"role": "user", "text": "a\\ud800b"}'), (None, 0, '{"role": "user", "text": "x"}'), (3, 0, "[" * 100_000), (4, 0, "[" * 3_000 + "]" * 3_000),
+            (5, 0, '{"messages": [{"role": "user", "content": ' + "[" * 3_000 + "]" * 3_000 + "}]}"), (6, 0, '{"\\udfff": 1}'), (7, 0, "17"), (8, 0, "")]
+    turns = chat.to_turns(spark.createDataFrame(rows, "conv_id long, turn int, record string")).collect()
+    assert {r.conv_id: r.text for r in turns if r.layout} == {big: "a\ufffdb", None: "x"}
+    assert sorted(r.conv_id for r in turns if not r.layout) == [3, 4, 5, 6, 7, 8]
+    out = chat.read_back(chat.format_turns(chat.to_turns(spark.createDataFrame(rows, "conv_id long, turn int, record string")))).collect()
+    assert {r.conv_id for r in out} == {big, None}
+
+
 def test_chat_round_trip(spark):
     rng = np.random.default_rng(1)
     parts = [*chat.CONTROLS, "\\", "x", "\n", "é", "<", "|", "[", "/"]
@@ -523,6 +611,9 @@ def test_url_filter(spark):
     got = sorted((r.page_id, r.action) for r in url_filter.evaluate(p, e).collect() if r.action) 
     assert got == [(1, "block"), (1, "block"), (3, "block"), (4, "allow")]
     assert url_filter.evaluate(p, e).count() == len(pages)
+    hosts = spark.createDataFrame([("http://[2001:DB8::1]:80/x",), ("http://1.2.3.4/",), ("http://a.b.c",)], "url string")
+    named = hosts.select(url_filter.host_of(F.col("url")).alias("h")).select("h", url_filter.names_of(F.col("h")).alias("n")).collect()
+    assert {r.h: r.n for r in named} == {"[2001:db8::1]": ["[2001:db8::1]"], "1.2.3.4": ["1.2.3.4"], "a.b.c": ["a.b.c", "b.c", "c"]}
     assert url_filter.evaluate(p, e.limit(0)).where("action is null").count() == len(pages)
     assert url_filter.evaluate(p.limit(0), e).count() == 0
 
