@@ -4,18 +4,23 @@ A line is the set of its words.  Lines of one set are one: the earliest, by
 (doc_id, line number), stands for it.  Words are ordered by rarity over the whole
 corpus (a table of 2^17 hashed counts, so its size is fixed), and the first
 n - ceil(0.8 n) + 1 words of each set, its prefix, are joined: two sets of Jaccard
-similarity 0.8 share a prefix word.  Length and position of the shared word, and a
-128-bit parity signature of the words, bound the overlap from above inside the join
+similarity 0.8 share a prefix word.  Length and position of the shared word and a
+128-bit parity signature of the words bound the overlap from above inside the join
 condition; what passes is verified on the words themselves.  A line goes if an
 earlier line of the corpus, kept or not, equals or resembles it.
 
 Families of many variants would give all pairs.  So each set is first checked
-against the earliest set with which it shares a group of its commonest words, a
-linear number of pairs; only sets that this leaves are joined with all.
+against the earliest that shares a group of its commonest words, a linear number of
+pairs; only sets that this leaves are joined with all.  Hot groups are cut into parts.
+
+A row is known by its id and a hash of its text (of a null id by 104 bits of such
+hashes), a set by 128 bits: of its words where it has fewer than four, else of 56
+bits a word.
 
 Defined cases: null text is a document without lines; lines without words stay; a
-null doc_id is last in order; rows that share an id share the fate of a line
-number; the empty table gives an empty result; other columns stay as they are.
+null doc_id is last in order; rows of one id are told apart by their texts, and of
+rows equal in both the first keeps the lines; the empty table gives an empty
+result; other columns stay as they are.
 """
 
 from __future__ import annotations
@@ -23,10 +28,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import ascii_words, bitmap_filter, filter_bits, materialise, might_contain
+from hindcast.llm._spark import ascii_words, bitmap_filter, filter_bits, materialise, might_contain, single_blanks
 
 RARITY_CELLS = 1 << 17
-LAST = 2**63 - 1  # orders a null doc_id
+LAST = 2**63 - 1  # null ids are ordered below it
+#: Cells in which groups of sets with common words are counted, and the parts that those
+#: of a cell with over 1/512 of all sets are cut into, each with a first of its own.
+GROUP_CELLS, HOT_SHARE, PARTS = 4096, 512, 64
+SOLID = r"[^\x20\x09-\x0D]"
 _MASK = (1 << 56) - 1
 
 
@@ -34,111 +43,141 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _rarity(docs: DataFrame, text: str) -> bytes:
-    """A class (3 a doubling) for each of the hashed counts of all words; RARITY_CELLS
-    bytes, whatever the corpus, which the driver holds as a constant of the next job."""
-    words = docs.select(F.explode(ascii_words(F.col(text))).alias("w"))
+def _keys(doc_id: str, text: str) -> list[Column]:
+    """d, e: the order and identity of a row."""
+    none = F.lit(LAST).cast("long") - F.xxhash64(F.lit("none"), F.col(text)).bitwiseAND(F.lit((1 << 40) - 1))
+    return [F.coalesce(F.col(doc_id).cast("long"), none).alias("d"), F.xxhash64(F.col(text)).alias("e")]
+
+
+def _rarity(docs: DataFrame, text: str) -> Column:
+    """array<long>: a class (3 a doubling) for each of the hashed counts of all words.
+
+    RARITY_CELLS numbers, whatever the corpus, which the driver holds as a constant of the next job.
+    """
+    words = docs.select(F.explode(F.split(single_blanks(F.col(text)), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_CELLS - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    classes = bytearray([33]) * RARITY_CELLS
-    for r in counts.select("cell", (F.lit(33) + F.floor(3 * F.log2(F.col("n") + 1))).cast("int").alias("c")).toLocalIterator():
-        classes[r.cell] = r.c
-    return bytes(classes)
+    classes = ["0"] * RARITY_CELLS
+    for r in counts.select("cell", F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("int").alias("c")).toLocalIterator():
+        classes[r.cell] = str(r.c)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """One row a distinct set of words: d, l (its first line), n, two signatures, hashes of two groups of its commonest words, prefix."""
-    rarity = F.lit(_rarity(docs, text))
-    lines = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("d"), F.posexplode(lines_of(F.col(text))).alias("l", "line"))
-    cls = lambda h: F.ascii(F.substring(rarity, (h.bitwiseAND(F.lit(RARITY_CELLS - 1)) + 1).cast("int"), F.lit(1)).cast("string"))
-    hashed = lines.select("d", "l", F.array_distinct(F.transform(ascii_words(F.col("line")), lambda w: F.xxhash64(w))).alias("h")).where(F.size("h") > 0)
-    ranked = hashed.select("d", "l", F.sort_array(F.transform("h", lambda h: F.shiftleft(cls(h).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK))))).alias("t"))
+    """One row a distinct set of words: d, e, l (its first line), n, two signatures, hashes of three groups of its commonest words, prefix."""
+    rarity = _rarity(docs, text)
+    # keyed before the lines part, or each line would hash the whole text again; an inner
+    # explode, or a filter here, would have Spark compute what it tests twice
+    lines = docs.select(*_keys(doc_id, text), lines_of(F.col(text)).alias("lines")).select("d", "e", F.posexplode_outer("lines").alias("l", "line"))
+    words = lines.select("d", "e", "l", ascii_words(F.col("line"), inside=True).alias("w"))
+    hashed = words.select("d", "e", "l", "w", F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
+    rank = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(RARITY_CELLS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
+    few = F.when(F.size("h") < 4, F.array_join(F.array_sort(F.array_distinct("w")), " "))
+    ranked = hashed.select("d", "e", "l", few.alias("few"), F.sort_array(F.transform("h", rank)).alias("t"))
     n = F.size("t")
-    # bit 20 says which of the two signatures a word counts in, bits from 34 on which bit it flips (a shift takes six of them)
-    counts = {1: lambda h: F.shiftright(h, 20).bitwiseAND(F.lit(1).cast("long")), 0: lambda h: F.shiftright(F.bitwise_not(h), 20).bitwiseAND(F.lit(1).cast("long"))}
-    bit = lambda h, part: F.call_function("shiftleft", counts[part](h), F.shiftright(h, 34).cast("int"))
-    sig = lambda part: F.aggregate("t", F.lit(0).cast("long"), lambda a, h: a.bitwiseXOR(bit(h, part)))
+    # bit 20 says in which of the two signatures a word flips a bit, those from 34 on which one (a shift takes six of them)
+    side = {"sig": lambda h: h, "sig2": F.bitwise_not}
+    flip = lambda c: lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(side[c](h), 20).bitwiseAND(F.lit(1).cast("long")), F.shiftright(h, 34).cast("int")))
     some = ranked.select(
-        F.xxhash64("t").alias("k"), "d", "l", n.alias("n"), sig(1).alias("sig"), sig(0).alias("sig2"),
+        *[F.when(F.col("few").isNotNull(), F.xxhash64(F.lit(i), "few")).otherwise(F.xxhash64(F.lit(i), "t")).alias(f"k{i}") for i in range(2)],
+        "d", "e", "l", n.alias("n"), *[F.aggregate("t", F.lit(0).cast("long"), flip(c)).alias(c) for c in side],
         *[F.xxhash64(F.slice("t", F.greatest(n - 9 * (i + 1), F.lit(1)), F.lit(9)), F.lit(i)).alias(f"b{i}") for i in range(3)],
         F.transform(F.slice("t", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
-    )
-    first = some.groupBy("k").agg(F.min(F.struct("d", "l", "n", "sig", "sig2", "b0", "b1", "b2", "prefix")).alias("s"))
-    return first.select("s.*")
+    )
+    first = some.groupBy("k0", "k1").agg(F.min(F.struct("d", "e", "l", "n", "sig", "sig2", "b0", "b1", "b2", "prefix")).alias("s"))
+    return first.select("s.*").where("n > 0")
 
 
 def _may_resemble(nx: Column, ny: Column, x: str = "x", y: str = "y") -> Column:
     """Length and signature bounds of Jaccard >= 0.8 between two sides of a join."""
     total = nx + ny
     apart = total - 2 * F.floor((total * 4 + 8) / 9)  # words that one of the two alone may have
-    flips = lambda c: F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")))
     near = (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4)
-    return near & (apart > 0) & (flips("sig") + flips("sig2") <= apart)
+    flips = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sig", "sig2"))
+    return near & (apart > 0) & (flips <= apart)
+
+
+LINE, OTHER = ["d", "e", "l"], ["d2", "e2", "l2"]
+
+
+def _ends(x: str, y: str) -> list[Column]:
+    return [F.col(f"{x}.{c}") for c in LINE] + [F.col(f"{y}.{c}").alias(o) for c, o in zip(LINE, OTHER)]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(d, l) of the first lines of pairs that resemble, checked word by word.
+    """(d, e, l) of the first lines of pairs that resemble, checked word by word.
 
-    pairs is (d, l, e, m): a line and an earlier one.  The documents are thinned
-    where they stand by bounded filters, and only the lines of pairs move.
+    pairs is a line and an earlier one.  The documents are thinned where they stand
+    by bounded filters, and only the lines of pairs move.
     """
-    pairs = materialise(pairs, "line-pairs")
-    ends = pairs.select("d", "l").unionByName(pairs.select(F.col("e").alias("d"), F.col("m").alias("l"))).distinct()
-    ends = materialise(ends.withColumn("key", F.xxhash64("d", "l")), "line-ends")
+    pairs = materialise(pairs.distinct(), "line-pairs")
+    ends = pairs.select(*LINE).unionByName(pairs.select(*[F.col(o).alias(c) for c, o in zip(LINE, OTHER)])).distinct()
+    ends = materialise(ends.withColumn("row", F.xxhash64("d", "e")).withColumn("key", F.xxhash64(*LINE)), "line-ends")
     bits = filter_bits(ends.count())
-    some = docs.select(F.coalesce(F.col(doc_id), F.lit(LAST)).cast("long").alias("d"), F.col(text).alias("text"))
-    some = might_contain(some, "d", bitmap_filter(ends, "d", bits), bits, "maybe").where("maybe").select("d", "text")
-    lines = some.select("d", F.posexplode(lines_of(F.col("text"))).alias("l", "line")).withColumn("key", F.xxhash64("d", "l"))
+    some = docs.select(*_keys(doc_id, text), F.col(text).alias("text")).withColumn("row", F.xxhash64("d", "e"))
+    some = might_contain(some, "row", bitmap_filter(ends, "row", bits), bits, "maybe").where("maybe").select("d", "e", "text")
+    lines = some.select("d", "e", F.posexplode(lines_of(F.col("text"))).alias("l", "line")).withColumn("key", F.xxhash64(*LINE))
     lines = might_contain(lines, "key", bitmap_filter(ends, "key", bits), bits, "maybe").where("maybe")
-    words = lines.join(ends.select("d", "l").hint("merge"), ["d", "l"], "left_semi").groupBy("d", "l").agg(F.first("line").alias("line"))
-    words = words.select("d", "l", F.array_distinct(ascii_words(F.col("line"))).alias("words"))
-    other = words.select(F.col("d").alias("e"), F.col("l").alias("m"), F.col("words").alias("others"))
-    both = pairs.join(words.hint("merge"), ["d", "l"]).join(other.hint("merge"), ["e", "m"])
+    words = lines.join(ends.select(*LINE).hint("merge"), LINE, "left_semi").groupBy(*LINE).agg(F.first("line").alias("line"))
+    words = words.select(*LINE, F.array_distinct(ascii_words(F.col("line"), inside=True)).alias("words"))
+    other = words.select(*[F.col(c).alias(o) for c, o in zip(LINE, OTHER)], F.col("words").alias("others"))
+    both = pairs.join(words.hint("merge"), LINE).join(other.hint("merge"), OTHER)
     shared = F.size(F.array_intersect("words", "others"))
-    return both.where(shared * 9 >= (F.size("words") + F.size("others")) * 4).select("d", "l").distinct()
+    return both.where(shared * 9 >= (F.size("words") + F.size("others")) * 4).select(*LINE).distinct()
 
 
 def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(d, l): the document id and line number of every line with words that stays."""
+    """(d, e, l): row and line number of every line with words that stays."""
     sets = materialise(_sets(docs, doc_id, text), "line-sets")
     able = sets.where("n >= 4")  # smaller sets resemble only themselves
 
-    w = Window.partitionBy("b").orderBy("d", "l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    grouped = able.select("d", "l", "n", "sig", "sig2", F.explode(F.array("b0", "b1", "b2")).alias("b"))
-    led = grouped.withColumn("y", F.first(F.struct("d", "l", "n", "sig", "sig2")).over(w)).select(F.struct("d", "l", "n", "sig", "sig2").alias("x"), "y")
-    near = led.where((F.col("x.d") != F.col("y.d")) | (F.col("x.l") != F.col("y.l"))).where(_may_resemble(F.col("x.n"), F.col("y.n")))
-    gone = materialise(_verified(near.select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("m")).distinct(), docs, doc_id, text), "line-gone")
-
-    flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), ["d", "l"], "left")
+    line = F.struct(*LINE, "n", "sig", "sig2")
+    grouped = able.select(*LINE, "n", "sig", "sig2", F.explode(F.array("b0", "b1", "b2")).alias("b"))
+    cell = F.pmod(F.col("b"), F.lit(GROUP_CELLS))
+    held = {r.cell: r.n for r in grouped.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    hot = [c for c, n in held.items() if n * HOT_SHARE > sum(held.values())]
+    grouped = grouped.withColumn("part", F.when(cell.isin(hot), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0)))
+    w = Window.partitionBy("b", "part").orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = grouped.withColumn("y", F.first(line).over(w)).select(line.alias("x"), "y")
+    near = led.where(F.struct(*[F.col(f"x.{c}") for c in LINE]) != F.struct(*[F.col(f"y.{c}") for c in LINE])).where(_may_resemble(F.col("x.n"), F.col("y.n")))
+    gone = materialise(_verified(near.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
+
+    flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), LINE, "left")
     # packed, as these rows are most of what is shuffled: n | position | out in one number
     packed = (F.col("n").cast("long") * (1 << 24) + F.col("p")) * 2 + F.coalesce("out", F.lit(0))
-    postings = flagged.select("d", "l", "n", "sig", "sig2", "out", F.posexplode("prefix").alias("p", "token")).select("token", "d", "l", packed.alias("packed"), "sig", "sig2")
+    postings = flagged.select(*LINE, "n", "sig", "sig2", "out", F.posexplode("prefix").alias("p", "token")).select("token", *LINE, packed.alias("packed"), "sig", "sig2")
     x, y = postings.alias("x"), postings.alias("y")
     n = {c: F.shiftright(F.col(f"{c}.packed"), 25).cast("int") for c in "xy"}
     p = {c: F.shiftright(F.col(f"{c}.packed"), 1).bitwiseAND(F.lit((1 << 24) - 1)).cast("int") for c in "xy"}
-    later = (F.col("x.d") > F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.l") > F.col("y.l")))
+    same = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
+    after = lambda c: F.col(f"x.{c}") > F.col(f"y.{c}")
+    later = after("d") | (same("d") & (after("e") | (same("e") & after("l"))))
     rest = F.least(n["x"] - p["x"], n["y"] - p["y"])  # with the shared word
     placed = rest >= F.floor(((n["x"] + n["y"]) * 4 + 8) / 9)
     # two-sided, so that both sides stay one exchange
     open_ = F.col("x.packed").bitwiseAND(F.lit(1)) * (n["y"] + 1) == 0
     joined = x.join(y, (F.col("x.token") == F.col("y.token")) & later & open_ & placed & _may_resemble(n["x"], n["y"]))
-    more = _verified(joined.select("x.d", "x.l", F.col("y.d").alias("e"), F.col("y.l").alias("m")).distinct(), docs, doc_id, text)
-    return sets.select("d", "l").join(gone.unionByName(more).hint("merge"), ["d", "l"], "left_anti")
+    more = _verified(joined.select(*_ends("x", "y")), docs, doc_id, text)
+    return sets.select(*LINE).join(gone.unionByName(more).hint("merge"), LINE, "left_anti")
 
 
 def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with later lines taken out of the text; n_lines and n_removed added."""
-    kept = first_lines(docs, doc_id, text).groupBy(F.col("d").alias("_d")).agg(F.collect_list("l").alias("_kept"))
-    joined = docs.join(kept.hint("merge"), F.coalesce(F.col(doc_id), F.lit(LAST)) == F.col("_d"), "left")
-    lines = lines_of(F.col(text))
-    stay = F.filter("_lines", lambda line, i: F.array_contains("_kept_or", i) | ~line.rlike(r"[^\x20\x09-\x0D]"))
+    kept = first_lines(docs, doc_id, text).groupBy(F.col("d").alias("_kd"), F.col("e").alias("_ke")).agg(F.collect_list("l").alias("_kept"))
+    # texts without words keep all their lines and meet nothing: they are spread
+    d, e = _keys(doc_id, text)
+    some = F.coalesce(F.col(text).rlike(SOLID), F.lit(False))
+    keyed = docs.withColumn("_d", F.when(some, d).otherwise(F.monotonically_increasing_id())).withColumn("_e", F.when(some, e).otherwise(F.lit(0)))
+    joined = keyed.join(kept.hint("merge"), (F.col("_d") == F.col("_kd")) & (F.col("_e") == F.col("_ke")), "left").withColumn("_lines", lines_of(F.col(text)))
+    numbered = joined.withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_e").orderBy("_ke")))
+    blank = F.filter(F.transform("_lines", lambda line, i: F.when(line.rlike(SOLID), -1).otherwise(i)), lambda i: i >= 0)
+    own = F.when(F.col("_copy") == 1, F.coalesce("_kept", F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>"))
+    stay = F.transform(F.array_sort(F.concat(own, blank)), lambda i: F.get("_lines", i))
     return (
-        joined.withColumn("_kept_or", F.coalesce("_kept", F.array().cast("array<int>")))
-        .withColumn("_lines", lines)
-        .withColumn("_stay", stay)
+        numbered.withColumn("_stay", F.when(F.col("_lines").isNotNull(), stay))
         .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
         .withColumn("n_removed", F.coalesce(F.size("_lines") - F.size("_stay"), F.lit(0)).cast("long"))
         .withColumn(text, F.array_join("_stay", "\n"))
-        .drop("_d", "_kept", "_kept_or", "_lines", "_stay")
+        .drop("_d", "_e", "_kd", "_ke", "_kept", "_copy", "_lines", "_stay")
     )
 
 
