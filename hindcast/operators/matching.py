@@ -7,6 +7,7 @@ group is bounded by that history (7,320 sessions), not by the corpus.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hindcast.functions.numeric import beta_quantile, weigh
+from hindcast.functions.numeric import beta_quantile
 from hindcast.operators.features import FEATURES, TRADING, Sampling
 
 MAX_MATCHES, MIN_MATCHES, PRIOR = 30, 8, 6.0
@@ -91,14 +92,51 @@ def non_overlapping(positions: Column, horizon: int) -> Column:
     return F.aggregate(positions, start, lambda acc, p: F.when((F.size(acc) == 0) | (p >= F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + horizon), F.concat(acc, F.array(p))).otherwise(acc))
 
 
+def kernel_weights(distances: Column) -> Column:
+    """Weights exp(-(d - min d) / h) of sorted distances, their sum 1.
+
+    h gives them an effective number of max(3, 0.72 n), or is ten times the spread
+    where n is too small for that.  Newton steps on ln h, halving the bracket where a
+    step would leave it; the fold stays in the JVM.
+    """
+    first = F.get(distances, F.lit(0))
+    spread = F.transform(distances, lambda d: d - first)
+    n, top = F.size(distances), F.ln(F.greatest((F.try_element_at(distances, F.lit(-1)) - first) * 10, F.lit(1.0)))
+    want = F.greatest(F.lit(3.0), 0.72 * n)
+
+    def add(acc: Column, w: Column, u: Column) -> Column:
+        return F.struct((acc["a"] + w).alias("a"), (acc["b"] + w * w).alias("b"), (acc["p"] + w * u).alias("p"), (acc["q"] + w * w * u).alias("q"))
+
+    def sums(x: Column) -> Column:
+        zero = F.struct(*[F.lit(0.0).alias(c) for c in "abpq"])
+        scaled = F.transform(spread, lambda d: d * F.exp(-x))
+        return F.aggregate(scaled, zero, lambda acc, u: add(acc, F.exp(-u), u))
+
+    def moved(x: Column, low: Column, high: Column, z: Column) -> Column:
+        over = 2 * F.ln(z["a"]) - F.ln(z["b"]) - F.ln(want)
+        low, high = F.when(over < 0, x).otherwise(low), F.when(over < 0, high).otherwise(x)
+        to = x - F.try_divide(over, 2 * z["p"] / z["a"] - 2 * z["q"] / z["b"])
+        return F.struct(F.when((to > low) & (to < high), to).otherwise((low + high) / 2).alias("x"), low.alias("low"), high.alias("high"))
+
+    start = F.struct((top / 2).alias("x"), F.lit(math.log(1e-4)).alias("low"), top.alias("high"))
+    step = lambda s, _: F.transform(F.array(sums(s["x"])), lambda z: moved(s["x"], s["low"], s["high"], z))[0]
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(44)), start, step, lambda s: s["x"])
+    h = F.exp(F.when(want >= n, top).otherwise(found))
+    raw = F.transform(F.arrays_zip(spread.alias("s"), F.array_repeat(h, n).alias("h")), lambda v: F.exp(-v["s"] / v["h"]))
+    total = F.aggregate(raw, F.lit(0.0), lambda acc, w: acc + w)
+    return F.transform(F.arrays_zip(raw.alias("w"), F.array_repeat(total, n).alias("t")), lambda v: v["w"] / v["t"])
+
+
 def matches(features: DataFrame, anchors: DataFrame, profile: str = "balanced", s: Sampling = TRADING) -> DataFrame:
     """One row a chosen episode: symbol, anchor, rank, pos, distance, weight, quality."""
     by = ["symbol", "anchor"]
     ranked = distances(features, anchors, profile, s).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("distance", "pos"))).alias("ranked"))
     chosen = ranked.select(*by, spaced(F.col("ranked"), s.spacing).alias("m"))
-    rows = chosen.select(*by, F.posexplode("m").alias("rank", "x")).select(*by, "rank", "x.pos", "x.distance")
-    out = rows.groupBy(*by).applyInPandas(weigh, "symbol string, anchor int, rank int, pos int, distance double, weight double, quality int")
-    return out
+    named = chosen.select(*by, "m", F.transform("m", lambda x: x["distance"]).alias("d"))
+    weighed = named.select(*by, F.arrays_zip("m", kernel_weights(F.col("d")).alias("w")).alias("z"))
+    # an inner explode would have Spark test, and so work out, the weights twice
+    rows = weighed.select(*by, F.posexplode_outer("z").alias("rank", "x")).where("rank is not null").select(*by, "rank", "x.m.pos", "x.m.distance", F.col("x.w").alias("weight"))
+    return rows.withColumn("quality", F.greatest(F.lit(1), F.least(F.lit(99), F.rint(100 * F.exp(-0.5 * F.col("distance"))).cast("int"))))
 
 
 def weighted_quantile(rows: DataFrame, by: list[str], value: str, weight: str, q: float, out: str) -> DataFrame:

@@ -199,7 +199,7 @@ def breadth(grid: DataFrame, sma: int = 50, least: int = 30) -> DataFrame:
     )
 
 
-def block_bootstrap(series: DataFrame, value: str, date: str = "as_of", block: int = 4, draws: int = 500, seed: str = "k") -> DataFrame:
+def block_bootstrap(series: DataFrame, value: str, date: str = "as_of", block: int = 4, draws: int = 4_000, seed: str = "k") -> DataFrame:
     """Moving-block bootstrap interval of a period mean; blocks are drawn by hash."""
     n = series.where(F.col(value).isNotNull()).withColumns({"i": F.row_number().over(Window.orderBy(date)) - 1, "k": F.count(F.lit(1)).over(Window.partitionBy())})
     slots = n.where(F.col("i") % block == 0).select((F.col("i") / block).cast("long").alias("slot"), "k", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))

@@ -250,7 +250,7 @@ def universe_return(members: DataFrame, bars: DataFrame, windows: DataFrame) ->
     return out.join(total, "universe_id")
 
 
-def bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 200, seed: str = "b", level: float = 0.95) -> DataFrame:
+def bootstrap(rows: DataFrame, cluster: str, value: str, draws: int = 2_000, seed: str = "b", level: float = 0.95) -> DataFrame:
     """Cluster bootstrap interval of a mean; clusters are drawn by hash, so any engine
     draws the same.  Clusters are reduced to (sum, n) before anything is drawn."""
     sums = rows.groupBy(F.col(cluster).alias("c")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))

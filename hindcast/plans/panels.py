@@ -177,19 +177,19 @@ def a28_by_share_price(spark, sf_dir):
 
 
 _BLOCKS = """, num AS (SELECT *, row_number() OVER (ORDER BY as_of) - 1 AS i, count(*) OVER () AS k FROM periods),
-st AS (SELECT draw, slot, k, ('0x' || substr(md5('k-' || draw || '-' || slot), 1, 8))::BIGINT % (k - {b} + 1) AS start FROM (SELECT CAST(i / {b} AS BIGINT) AS slot, k FROM num WHERE i % {b} = 0) CROSS JOIN range(500) t(draw)),
+st AS (SELECT draw, slot, k, ('0x' || substr(md5('k-' || draw || '-' || slot), 1, 8))::BIGINT % (k - {b} + 1) AS start FROM (SELECT CAST(i / {b} AS BIGINT) AS slot, k FROM num WHERE i % {b} = 0) CROSS JOIN range({draws}) t(draw)),
 m AS (SELECT draw, avg({v}) AS m FROM (SELECT draw, start + o AS i FROM st CROSS JOIN range({b}) u(o) WHERE slot * {b} + o < k) JOIN num USING (i) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CAST(m <= 0 AS DOUBLE)), 6) AS p_not_positive FROM m"""
 
 
-@query(_P + _BOARD + _BLOCKS.format(b=4, v="ret"))
+@query(_P + _BOARD + _BLOCKS.format(b=4, v="ret", draws=4000))
 def a30_block_bootstrap(spark, sf_dir):
     return N.block_bootstrap(N.periods(N.board(panel(spark, sf_dir), 10)), "ret").select(*rounded("low", "high", "p_not_positive"))
 
 
-@query(_P + _BOARD + _BLOCKS.format(b=1, v="excess"))
+@query(_P + _BOARD + _BLOCKS.format(b=1, v="excess", draws=1500))
 def a31_iid_bootstrap(spark, sf_dir):
-    return N.block_bootstrap(N.periods(N.board(panel(spark, sf_dir), 10)), "excess", block=1).select(*rounded("low", "high", "p_not_positive"))
+    return N.block_bootstrap(N.periods(N.board(panel(spark, sf_dir), 10)), "excess", block=1, draws=1_500).select(*rounded("low", "high", "p_not_positive"))
 
 
 _REGIME = C.with_(C.BARS, C.CONTEXT, _PANEL) + """, rg AS (SELECT session_date, market > CASE WHEN count(market) OVER (ORDER BY session_date ROWS 199 PRECEDING) >= 200 THEN avg(market) OVER (ORDER BY session_date ROWS 199 PRECEDING) END AS up,

@@ -241,7 +241,7 @@ _PICK = "('0x' || substr(md5('{seed}-' || draw || '-' || slot), 1, 8))::BIGINT %
 
 
 @query(_SCORED + f""", cl AS (SELECT as_of_date AS c, sum(signed_return) AS s, count(*) AS n FROM scored GROUP BY 1), num AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS k FROM cl),
-dr AS (SELECT draw, {_PICK.format(seed='b')} AS i FROM (SELECT i AS slot, k FROM num) CROSS JOIN range(200) t(draw)), m AS (SELECT draw, sum(s) / sum(n) AS m FROM dr JOIN num USING (i) GROUP BY 1)
+dr AS (SELECT draw, {_PICK.format(seed='b')} AS i FROM (SELECT i AS slot, k FROM num) CROSS JOIN range(2000) t(draw)), m AS (SELECT draw, sum(s) / sum(n) AS m FROM dr JOIN num USING (i) GROUP BY 1)
 SELECT round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CAST(m <= 0 AS DOUBLE)), 6) AS p_not_positive FROM m""")
 def a32_a33_cluster_bootstrap(spark, sf_dir):
     return R.bootstrap(scored(spark, sf_dir), "as_of_date", "signed_return").select(*rounded("low", "high", "p_not_positive"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -39,9 +40,20 @@ def read_short_interest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_bars(bars: DataFrame, path: str, buckets: int = 64) -> None:
-    """Bars partitioned by a symbol bucket; only the buckets at hand are replaced."""
-    df = bars.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
-    df.repartition("bucket").sortWithinPartitions("symbol", "session_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    """Bars partitioned by a symbol bucket.  The symbols at hand are replaced; the other
+    symbols of their buckets are written again as they are, other buckets are not touched."""
+    numbered = bars.withColumn("bucket", F.pmod(F.xxhash64("symbol"), F.lit(buckets)).cast("int"))
+    at_hand = numbered.select("symbol", "bucket").distinct()
+    try:
+        old = bars.sparkSession.read.parquet(path)
+    except AnalysisException:  # nothing is there yet
+        old = None
+    if old is not None:
+        touched = [r.bucket for r in at_hand.select("bucket").distinct().collect()]  # numbers below ``buckets``
+        others = old.where(F.col("bucket").isin(touched)).join(at_hand.select("symbol"), "symbol", "left_anti")
+        numbered = numbered.unionByName(others.select(*numbered.columns))
+    dealt = numbered.repartition("bucket", "symbol").sortWithinPartitions("bucket", "symbol", "session_date")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
 
 
 def read_bars(spark: SparkSession, path: str, symbol: str | None = None, buckets: int = 64) -> DataFrame:

@@ -103,10 +103,17 @@ def test_greedy_folds(spark):
     assert row.n == list(range(0, 300, 12))
 
 
-def test_kernel_weights_reach_the_effective_size():
+def test_kernel_weights_reach_the_effective_size(spark):
     d = np.sort(np.random.default_rng(2).random(25))
-    w = numeric.kernel_weights(d)
-    assert abs(w.sum() - 1) < 1e-12 and abs(1 / (w**2).sum() - 0.72 * 25) < 1e-3 and (np.diff(w) <= 0).all()
+    cases = [d.tolist(), [0.5], [1.0, 2.0], [0.1, 0.2, 4.0], [0.3] * 6, [0.0] * 9 + [5.0], [0.2, 0.21, 0.5, 0.9], []]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, d array<double>").select("i", M.kernel_weights(F.col("d")).alias("w")).collect()
+    got = {r.i: np.array(r.w) for r in rows}
+    for i, c in enumerate(cases):
+        w, n = got[i], len(c)
+        assert len(w) == n and (not n or abs(w.sum() - 1) < 1e-9) and (np.diff(w) <= 1e-15).all()
+        if n > 3 and len(set(c)) > 2:
+            assert abs(1 / (w**2).sum() - max(3.0, 0.72 * n)) < 1e-6
+    assert np.allclose(got[2], np.exp([0, -0.1]) / np.exp([0, -0.1]).sum()) and np.allclose(got[4], 1 / 6)
 
 
 def test_beta_quantiles():
@@ -119,6 +126,18 @@ def test_beta_quantiles():
     assert abs(np.trapezoid(density[:60_001], x[:60_001]) - numeric.beta_cdf(np.array([0.3]), np.array([2.0]), np.array([3.0]))[0]) < 1e-6
 
 
+def test_writing_one_symbol_keeps_the_others(spark, tmp_path):
+    from hindcast.sources import files
+
+    path = str(tmp_path / "bars")
+    bars = spark.range(300).select(F.concat(F.lit("s"), "id").alias("symbol"), F.lit("2024-01-02").cast("date").alias("session_date"), F.lit(1.0).alias("close"))
+    files.write_bars(bars, path, 4)
+    files.write_bars(bars.where("symbol in ('s7', 's8')").withColumn("close", F.lit(2.0)), path, 4)
+    got = files.read_bars(spark, path).groupBy("close").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol").alias("s")).collect()
+    assert {(r.close, r.n, r.s) for r in got} == {(1.0, 298, 298), (2.0, 2, 2)}
+    assert files.read_bars(spark, path, "s7", 4).first().close == 2.0
+
+
 def test_matches_in_a_batch_are_those_of_one_anchor(spark):
     b = make_bars(spark, 700)
     feats = X.context_features(X.align_context(X.price_features(b), b.groupBy("session_date").agg(F.avg("close").alias("market"), F.avg("high").alias("vix"))))
