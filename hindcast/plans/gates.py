@@ -81,7 +81,6 @@ def p23_watchlist(spark, sf_dir):
     return rows.groupBy("symbol").agg(newest).select("symbol", "r.*")
 
 
-@F.pandas_udf("double")
 def two_sided(rho: pd.Series, n: pd.Series) -> pd.Series:
     """P-value of a rank correlation by the t distribution; null under three pairs, 0 for |rho| = 1."""
     able = (n > 2) & rho.notna()
@@ -102,4 +101,5 @@ def f13_spearman_p_value(spark, sf_dir):
     both = rows.unionByName(rows.withColumn("part", F.lit("whole")))
     ranked = both.withColumns({"rx": N.average_rank("pct_above", ["part"]), "ry": N.average_rank("excess", ["part"])})
     found = ranked.groupBy("part").agg(F.count(F.lit(1)).alias("n"), N.correlation("rx", "ry").alias("rho"))
-    return found.select("part", "n", F.round(two_sided("rho", "n"), 6).alias("p_value"))
+    p_value = F.pandas_udf(two_sided, "double")  # made here, as it asks for a session
+    return found.select("part", "n", F.round(p_value("rho", "n"), 6).alias("p_value"))
