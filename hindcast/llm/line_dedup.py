@@ -2,7 +2,7 @@
 
 A line is the set of its words.  Lines of one set are one: the earliest, by
 (doc_id, line number), stands for it.  Words are ordered by rarity over the whole
-corpus (a table of 2^17 hashed counts, so its size is fixed), and the first
+corpus (a table of 2^16 hashed counts, so its size is fixed), and the first
 n - ceil(0.8 n) + 1 words of each set, its prefix, are joined: two sets of Jaccard
 similarity 0.8 share a prefix word.  Length and position of the shared word and a
 128-bit parity signature of the words bound the overlap from above inside the join
@@ -30,13 +30,12 @@ from pyspark.sql import functions as F
 
 from hindcast.llm._spark import ascii_words, bitmap_filter, filter_bits, materialise, might_contain, single_blanks
 
-RARITY_CELLS = 1 << 17
+RARITY_CELLS = 1 << 16  # as many groups as Spark's fast map of an aggregation holds
 LAST = 2**63 - 1  # null ids are ordered below it
 #: Cells in which groups of sets with common words are counted, and the parts that those
 #: of a cell with over 1/512 of all sets are cut into, each with a first of its own.
 GROUP_CELLS, HOT_SHARE, PARTS = 4096, 512, 64
 SOLID = r"[^\x20\x09-\x0D]"
-_MASK = (1 << 56) - 1
 
 
 def lines_of(text: Column) -> Column:
@@ -49,16 +48,25 @@ def _keys(doc_id: str, text: str) -> list[Column]:
     return [F.coalesce(F.col(doc_id).cast("long"), none).alias("d"), F.xxhash64(F.col(text)).alias("e")]
 
 
+def _word_hash(word: Column) -> Column:
+    """56 bits, so that a class fits above them."""
+    return F.shiftrightunsigned(F.xxhash64(word), 8)
+
+
+def _cell(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(RARITY_CELLS - 1)).cast("int")
+
+
 def _rarity(docs: DataFrame, text: str) -> Column:
-    """array<long>: a class (3 a doubling) for each of the hashed counts of all words.
+    """array<long>: a class (3 a doubling), in the highest byte, for each of the hashed counts of all words.
 
     RARITY_CELLS numbers, whatever the corpus, which the driver holds as a constant of the next job.
     """
     words = docs.select(F.explode(F.split(single_blanks(F.col(text)), " ")).alias("w")).where("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(RARITY_CELLS - 1)).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
+    counts = words.groupBy(_cell(_word_hash(F.col("w"))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     classes = ["0"] * RARITY_CELLS
     for r in counts.select("cell", F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("int").alias("c")).toLocalIterator():
-        classes[r.cell] = str(r.c)
+        classes[r.cell] = str(r.c << 56)
     return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
 
 
@@ -68,10 +76,12 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # keyed before the lines part, or each line would hash the whole text again; an inner
     # explode, or a filter here, would have Spark compute what it tests twice
     lines = docs.select(*_keys(doc_id, text), lines_of(F.col(text)).alias("lines")).select("d", "e", F.posexplode_outer("lines").alias("l", "line"))
-    words = lines.select("d", "e", "l", ascii_words(F.col("line"), inside=True).alias("w"))
-    hashed = words.select("d", "e", "l", "w", F.array_distinct(F.transform("w", lambda w: F.xxhash64(w))).alias("h"))
-    rank = lambda h: F.shiftleft(F.get(rarity, h.bitwiseAND(F.lit(RARITY_CELLS - 1)).cast("int")), 56).bitwiseOR(h.bitwiseAND(F.lit(_MASK)))
-    few = F.when(F.size("h") < 4, F.array_join(F.array_sort(F.array_distinct("w")), " "))
+    # the line goes along and not its words: an array of them would be copied at each step
+    words = lambda: ascii_words(F.col("line"), inside=True)
+    hashed = lines.select("d", "e", "l", "line", F.array_distinct(F.transform(words(), _word_hash)).alias("h"))
+    # no element is null, which Spark sorts as plain numbers once it is said
+    rank = lambda h: F.coalesce(F.get(rarity, _cell(h)).bitwiseOR(h), F.lit(0).cast("long"))
+    few = F.when(F.size("h") < 4, F.array_join(F.array_sort(F.array_distinct(words())), " "))
     ranked = hashed.select("d", "e", "l", few.alias("few"), F.sort_array(F.transform("h", rank)).alias("t"))
     n = F.size("t")
     # bit 20 says in which of the two signatures a word flips a bit, those from 34 on which one (a shift takes six of them)
