@@ -32,17 +32,18 @@ def shared_dir(spark: SparkSession) -> str:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, cutting lineage.
 
     Shuffle files of the write go as soon as it is done: nothing reads them again.
+    ``hashes`` says that most columns hold hashes, for which no dictionary is tried.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.enable.dictionary", str(not hashes).lower()).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -137,7 +137,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
 
 def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, e, l): row and line number of every line with words that stays."""
-    sets = materialise(_sets(docs, doc_id, text), "line-sets")
+    sets = materialise(_sets(docs, doc_id, text), "line-sets", hashes=True)
     able = sets.where("n >= 4")  # smaller sets resemble only themselves
 
     line = F.struct(*LINE, "n", "sig", "sig2")
