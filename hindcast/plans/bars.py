@@ -79,7 +79,7 @@ def p20_frame_through_date(spark, sf_dir):
     return A.bars(spark, sf_dir).where("session_date <= date'1999-06-30'").select("symbol", "session_date", *rounded("close"))
 
 
-@query(C.with_(C.BARS) + """SELECT symbol, session_date, session_date < DATE '2000-03-01' OR (session_date = DATE '2000-03-01' AND pos % 2 = 0) AS complete FROM bars WHERE session_date BETWEEN DATE '2000-02-15' AND DATE '2000-03-10'""")
+@query(C.with_(C.BARS) + """SELECT symbol, session_date, session_date < DATE '2000-03-01' OR (session_date = DATE '2000-03-01' AND pos % 2 = 0) AS complete FROM bars""")
 def p16_session_complete(spark, sf_dir):
     now = F.when(F.col("pos") % 2 == 0, F.to_timestamp(F.lit("2000-03-01 22:30:00"))).otherwise(F.to_timestamp(F.lit("2000-03-01 20:30:00")))
     return A.bars(spark, sf_dir).select("symbol", "session_date", B.session_complete(F.col("session_date"), now).alias("complete"))

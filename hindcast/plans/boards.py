@@ -111,7 +111,8 @@ def f17_f28_f29_news_rules(spark, sf_dir):
     return analyses(spark, sf_dir).select("symbol", "as_of_date", story.alias("story"), *rounded(("adjustment", adjusted)), days.between(-1, 7).alias("catalyst"))
 
 
-@query(C.with_(C.BARS, "picked AS (SELECT * FROM bars WHERE pos % 50 = 0)") + """SELECT symbol, session_date, max(d) AS horizon_date FROM (SELECT s.symbol, s.session_date, r.d, row_number() OVER (PARTITION BY s.symbol, s.session_date ORDER BY r.d) AS k FROM picked s, LATERAL (SELECT CAST(unnest(range(s.session_date + 1, s.session_date + 40, INTERVAL 1 DAY)) AS DATE) AS d) r WHERE dayofweek(r.d) BETWEEN 1 AND 5) WHERE k <= 21 GROUP BY 1, 2""")
+@query(C.with_(C.BARS) + """, days AS (SELECT CAST(d AS DATE) AS d, row_number() OVER (ORDER BY d) AS k FROM (SELECT unnest(generate_series(min(session_date), max(session_date) + 40, INTERVAL 1 DAY)) AS d FROM bars) WHERE dayofweek(d) BETWEEN 1 AND 5)
+SELECT symbol, session_date, later.d AS horizon_date FROM bars JOIN days ON days.d = session_date JOIN days later ON later.k = days.k + 21""")
 def f26_business_horizon(spark, sf_dir):
     """Twenty-one business days on: whole weeks, then days with the weekend stepped over."""
     n = 21

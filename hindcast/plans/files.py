@@ -47,12 +47,12 @@ def s1_k1_partitioned_bars(spark, sf_dir):
     return files.read_bars(spark, path, "PROMO").select("symbol", "session_date", *rounded("close"))
 
 
-@query(C.with_(C.BARS, C.LEDGER) + "SELECT as_of_date AS session_date, symbol, CASE WHEN eligible THEN 'ranked' WHEN eligible IS NULL THEN 'unknown' ELSE 'refused' END AS status, probability_up AS score FROM ledger WHERE as_of_date >= DATE '2001-01-01'")
+@query(C.with_(C.BARS, C.LEDGER) + "SELECT as_of_date AS session_date, symbol, CASE WHEN eligible THEN 'ranked' WHEN eligible IS NULL THEN 'unknown' ELSE 'refused' END AS status, probability_up AS score FROM ledger")
 def k8_scan_results(spark, sf_dir):
     path = scratch(spark, "scan-results")
     rows = A.ledger(A.bars(spark, sf_dir))
     status = F.when(F.col("eligible"), "ranked").when(F.col("eligible").isNull(), "unknown").otherwise("refused")
-    files.write_results(rows.select(F.col("as_of_date").alias("session_date"), "symbol", status.alias("status"), F.col("probability_up").alias("score")).coalesce(1), path)
+    files.write_results(rows.select(F.col("as_of_date").alias("session_date"), "symbol", status.alias("status"), F.col("probability_up").alias("score")), path)
     return spark.read.schema("symbol string, status string, score double, session_date date").parquet(path).select("session_date", "symbol", "status", "score")
 
 

@@ -104,7 +104,7 @@ def s10_headline_json(spark, sf_dir):
     return j.select("conv_id", "turn", F.regexp_replace(F.coalesce("j.title", "j.content.title"), r"\s+", " ").alias("title"), F.coalesce("j.publisher", "j.content.provider.displayName").alias("publisher"))
 
 
-@query("""SELECT lang, sha256(count(*) || ':' || CAST(sum(('0x' || substr(md5(doc_id || '-' || n_chars), 1, 8))::BIGINT) AS BIGINT)) AS vintage FROM documents GROUP BY 1""")
+@query("""SELECT lang, sha256(count(*) || ':' || CAST(sum(('0x' || substr(md5(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text})), 1, 15))::BIGINT) AS VARCHAR)) AS vintage FROM documents GROUP BY 1""")
 def f14_content_hash(spark, sf_dir):
     """A vintage of each language's rows: order-free, summed map-side."""
     return vintages(table(spark, sf_dir, "documents"))

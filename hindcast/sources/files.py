@@ -67,7 +67,7 @@ def read_bars(spark: SparkSession, path: str, symbol: str | None = None, buckets
 
 def write_results(rows: DataFrame, path: str) -> None:
     """Per-symbol results of runs, one partition a session; a repeated run replaces its own."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
+    rows.repartition("session_date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("session_date").parquet(path)
 
 
 def profiles(*sources: DataFrame) -> DataFrame:
