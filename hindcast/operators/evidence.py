@@ -1,15 +1,13 @@
 """What a forecast is read with: agreement, waterfall, headline, trade plan, projection
-bands and the walk-forward audit that chooses a profile and widens the interval."""
+bands and the split of the audit's grid."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.functions import scalars as S
 from hindcast.operators import matching as M
 
 BY = ["symbol", "anchor"]
@@ -99,16 +97,6 @@ def projection(rows: DataFrame, widening: DataFrame | None = None, horizon: int
     return bands.select(*by, (F.col("low") - wide).alias("low"), "median", (F.col("high") + wide).alias("high"))
 
 
-def audit_predictions(features: DataFrame, outcomes: DataFrame, anchors: DataFrame, profile: str, horizon: int = 21) -> DataFrame:
-    """What each anchor would have been told, beside what followed; all anchors in one plan."""
-    told = M.summarize(M.matches(features, anchors, profile), outcomes, M.base_rates(outcomes, anchors, horizon), horizon)
-    actual = outcomes.select("symbol", F.col("pos").alias("anchor"), F.col(f"fwd_{horizon}").alias("actual")).where("actual is not null")
-    share = lambda c: F.col(c) / 100
-    return told.join(actual, BY).select(
-        *BY, share("probability").alias("p"), share("baseline").alias("base"), F.col("median").alias("med"), F.col("p20").alias("lo"), F.col("p80").alias("hi"), "actual", (F.col("actual") > 0).cast("double").alias("y")
-    )
-
-
 def tuning_split(anchors: DataFrame) -> DataFrame:
     """(symbol, anchor, kind) of the audit grid: the latest third of the tuning anchors (five at
     least) calibrates the interval; of under ten all do, and no profile is chosen."""
@@ -117,24 +105,3 @@ def tuning_split(anchors: DataFrame) -> DataFrame:
     calibrates = (F.col("_n") < 10) | (F.col("_k") <= F.greatest(F.lit(5), F.floor(F.col("_n") / 3)))
     kind = F.when(F.col("kind") == "evaluation", "evaluation").when(calibrates, "calibration").otherwise("tuning")
     return numbered.select("symbol", "anchor", kind.alias("kind"))
-
-
-def audited(features: DataFrame, outcomes: DataFrame, anchors: DataFrame, keep: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """One row a symbol: the profile that its tuning anchors choose, the audit of its
-    evaluation anchors under it, and the conformal widening from the calibration anchors.
-
-    ``keep`` writes a small intermediate table (anchors by profile) where executors share it.
-    """
-    parts = keep(tuning_split(anchors), "audit-anchors")
-    names = list(M.PROFILES)
-    of = lambda rows, name: keep(audit_predictions(features, outcomes, rows, name), "audit-told")  # a plan each
-    together = lambda dfs: reduce(lambda a, b: a.unionByName(b), dfs)
-    tuned = together([of(parts.where("kind = 'tuning'"), name).withColumn("ord", F.lit(i)) for i, name in enumerate(names)])
-    brier = tuned.groupBy("symbol", "ord").agg(F.avg(F.pow(F.col("p") - F.col("y"), 2)).alias("brier"))
-    chosen = S.best_profile(brier, names)
-    chosen = keep(parts.select("symbol").distinct().join(chosen, "symbol", "left").withColumn("profile", F.coalesce("profile", F.lit(names[0]))), "audit-profiles")
-    rest = parts.where("kind <> 'tuning'").join(chosen, "symbol")
-    told = together([of(rest.where(F.col("profile") == name), name) for name in names])
-    told = keep(told.join(rest.select(*BY, "kind"), BY).withColumn("cal", F.col("kind") == "calibration"), "audit-predictions")
-    metrics = S.audit_metrics(told.where("not cal"))
-    return chosen.join(metrics, "symbol").join(S.conformal(told), "symbol", "left")

@@ -1,4 +1,4 @@
-"""Queries over what a forecast is read with, and the audited forecast as one job."""
+"""Queries over what a forecast is read with."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from hindcast.operators import evidence as E
 from hindcast.operators import features as X
 from hindcast.operators import matching as M
 from hindcast.plans.forecasts import _ANALYSIS, _PRED, analyses, anchors_of, predictions, prepared
-from hindcast.plans.registry import query, rounded
+from hindcast.plans.registry import ORACLES, query, rounded
 from hindcast.sources import adapters as A
 from hindcast.streaming.jobs import scratch
 
@@ -25,15 +25,6 @@ def _kept(spark):
     return keep
 
 
-@query()
-def c2_audited_forecast(spark, sf_dir):
-    """All four profiles over the tuning grid of every symbol, the chosen one over its evaluation grid."""
-    feats, outs, bars = prepared(spark, sf_dir)
-    anchors = S.audit_anchors(bars.groupBy("symbol").agg((F.max("pos") + 1).alias("n")))
-    out = E.audited(feats, outs, anchors, _kept(spark))
-    return out.select("symbol", "profile", "n", "actionable", *rounded("accuracy", "base_accuracy", "brier", "base_brier", "skill", "adjustment", "raw_coverage", "adjusted_coverage"), "grade")
-
-
 def _episodes(spark, sf_dir):
     """Three anchors a symbol with their episodes' paths, and the forecasts made of them."""
     feats, _, bars = prepared(spark, sf_dir)
@@ -44,6 +35,13 @@ def _episodes(spark, sf_dir):
     return E.episodes(chosen, outs), told.join(price, E.BY)
 
 
+@query(f"SELECT symbol, anchor, kind FROM (SELECT g.*, n, row_number() OVER (PARTITION BY symbol, kind0 ORDER BY anchor DESC) AS k, CASE WHEN kind0 = 'evaluation' THEN 'evaluation' WHEN n < 10 OR k <= greatest(5, n // 3) THEN 'calibration' ELSE 'tuning' END AS kind FROM (SELECT symbol, kind AS kind0, anchor FROM ({ORACLES['w18_audit_anchors']})) g JOIN (SELECT symbol, count(*) AS n FROM ({ORACLES['w18_audit_anchors']}) WHERE kind = 'tuning' GROUP BY 1) USING (symbol))")
+def c2_audit_split(spark, sf_dir):
+    """The part of the audited forecast that sets its anchors: for profiles, for the interval, for evaluation."""
+    n = A.bars(spark, sf_dir).groupBy("symbol").agg((F.max("pos") + 1).alias("n"))
+    return E.tuning_split(S.audit_anchors(n)).select("symbol", F.col("anchor").cast("long").alias("anchor"), "kind")
+
+
 @query()
 def f23_trade_plan(spark, sf_dir):
     rows, told = _episodes(spark, sf_dir)
