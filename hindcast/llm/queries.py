@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, fingerprints, line_dedup, mixing, near_join, quality, sentencepiece_fst, sharding, url_filter
+from hindcast.llm import chat, fingerprints, line_dedup, mixing, near_join, quality, repair, sentencepiece_fst, sharding, url_filter
 from hindcast.llm import exact_dedup as exact
 
 
@@ -93,5 +93,25 @@ def op10_url_filter(spark, sf_dir):
     return url_filter.evaluate(captures, url_list_entries(pages))
 
 
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Conversations whose rows are dropped, emptied, cut, repeated or reroled by their checksum."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    hit = F.crc32(key.cast("binary")) % 20
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(hit == 1, F.lit("")).when(hit == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    rows = conversations.where(hit != 0).select("conv_id", "turn", F.when(hit == 4, F.lit("user")).otherwise(role).alias("role"), text.alias("text"), hit.alias("hit"))
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("hit") == 3, 2).otherwise(1)))).drop("hit", "copy")
+
+
+def op11_conversation_repair(spark, sf_dir):
+    conversations = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    planned, turns = repair.repair(damaged(conversations))
+    found = planned.join(repair.digests(turns).withColumnRenamed("conv_id", "_conv"), F.col("conv_id").eqNullSafe(F.col("_conv"))).drop("_conv")
+    every = conversations.select(F.col("conv_id").alias("_conv")).distinct()
+    whole = every.join(found, F.col("_conv").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return whole.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}

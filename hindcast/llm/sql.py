@@ -68,6 +68,76 @@ SELECT c.page_id, c.host, c.fetched_at, hit.action, hit.name AS matched_name, hi
 FROM c LEFT JOIN hit ON hit.page_id = c.page_id AND hit.nth = 1
 """
 
+#: The crc32 of an ASCII string, eight shifts a byte, as a macro-free expression.
+_BIT = "CASE WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END"
+
+
+def _crc32(column: str) -> str:
+    step = "xor(c, b)"
+    for _ in range(8):
+        step = f"list_transform([{step}], lambda r: {_BIT})[1]"
+    codes = f"list_transform(string_split({column}, ''), lambda x: CAST(ord(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda c, b: {step}), 4294967295)"
+
+
+#: Costs and audits of the four last roles ('cost|audit' strings, so that the least is the best)
+#: after each turn; ~ is none.  An inserted or reroled turn leads from none and system to user,
+#: from user to assistant and from assistant to user.
+def _add(value: str, cost: str, edit: str) -> str:
+    return f"CASE WHEN {value} = '~' THEN '~' ELSE lpad(CAST(CAST({value}[1:9] AS BIGINT) + {cost} AS VARCHAR), 9, '0') || '|' || {value}[11:] || '{edit}' END"
+
+
+def _inserted(values: list[str]) -> list[str]:
+    n, s, u, a = values
+    return [n, s, f"least({u}, {_add(n, '3', 'I')}, {_add(s, '3', 'I')}, {_add(a, '3', 'I')})", f"least({a}, {_add(u, '3', 'I')})"]
+
+
+_AFTER = [
+    f"{_add('n', '4', 'D')}",
+    f"least({_add('s', '4', 'D')}, CASE WHEN ok AND m = 's' THEN {_add('n', 'more', 'K')} ELSE '~' END)",
+    f"least({_add('u', '4', 'D')}, CASE WHEN ok AND m = 'u' THEN least({_add('n', 'more', 'K')}, {_add('s', 'more', 'K')}, {_add('a', 'more', 'K')}) ELSE '~' END,"
+    f" CASE WHEN ok THEN least({_add('n', 'more + 3', 'R')}, {_add('s', 'more + 3', 'R')}, {_add('a', 'more + 3', 'R')}) ELSE '~' END)",
+    f"least({_add('a', '4', 'D')}, CASE WHEN ok AND m = 'a' THEN {_add('u', 'more', 'K')} ELSE '~' END, CASE WHEN ok THEN {_add('u', 'more + 3', 'R')} ELSE '~' END)",
+]
+_ONE = ", ".join(f"{v} AS {c}" for v, c in zip(_inserted(list("nsua")), "nsua"))
+
+OP11 = f"""
+WITH RECURSIVE k AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS hit FROM conversations
+), d AS (
+  SELECT conv_id, turn, CASE WHEN hit = 4 THEN 'user' ELSE role END AS role,
+         CASE hit WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM k, LATERAL (SELECT unnest(range(CASE hit WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))) c
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), nth) AS i, nth > 1 AS again,
+         NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\\z') AS cut, left(role, 1) AS m
+  FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d)
+), f AS (
+  SELECT *, NOT blank AND NOT again AS ok, CASE WHEN cut THEN 3 ELSE 0 END AS more,
+         CASE WHEN lag(m) OVER w IS NOT NULL AND NOT (lag(m) OVER w || m IN ('su', 'ua', 'au')) THEN 1 ELSE 0 END AS illegal FROM r WINDOW w AS (PARTITION BY conv_id ORDER BY i)
+), c AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(again AND NOT blank) AS duplicate,
+         count_if(cut AND NOT again AND NOT blank) AS truncated, sum(illegal) AS illegal, max(i) AS rows FROM f GROUP BY 1
+), walk(conv_id, i, n, s, u, a) AS (
+  SELECT conv_id, 0::BIGINT, '000000000|', '~', '000000003|I', '000000006|II' FROM c
+  UNION ALL
+  SELECT conv_id, i, {_ONE} FROM (SELECT f.conv_id, f.i, {", ".join(f"{v} AS {c}" for v, c in zip(_AFTER, ("n1", "s1", "u1", "a1")))} FROM walk w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.i = w.i + 1) t(conv_id, i, n, s, u, a)
+), best AS (
+  SELECT c.*, CAST(least(n, a)[1:9] AS BIGINT) AS cost, least(n, a)[11:] AS audit FROM c JOIN walk w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.i = c.rows
+), e AS (
+  SELECT conv_id, p, audit[p] AS edit, count_if(audit[p] <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM best, LATERAL (SELECT unnest(range(1, length(audit) + 1)) AS p) x
+), o AS (
+  SELECT e.conv_id, e.p, e.edit, f.role, f.text, row_number() OVER (PARTITION BY e.conv_id ORDER BY e.p) AS nth, first_value(e.edit = 'K' AND f.m = 's') OVER (PARTITION BY e.conv_id ORDER BY e.p) AS led
+  FROM e LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i AND e.edit <> 'I' WHERE e.edit <> 'D'
+), h AS (
+  SELECT conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN role WHEN (nth % 2 = 1) <> led THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE text END, chr(10) ORDER BY p)) AS repaired_sha256 FROM o GROUP BY 1
+)
+SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+       coalesce(cost, 0)::BIGINT AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM v.conv_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op4_exact_dedup": OP4, "op10_url_filter": OP10}
+    return {"op1_chat_formatting": OP1, "op4_exact_dedup": OP4, "op10_url_filter": OP10, "op11_conversation_repair": OP11}
