@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hindcast.llm import chat, fingerprints, line_dedup, mixing, near_join, packing, quality, repair, sentencepiece_fst, sharding, url_filter
+from hindcast.llm import chat, divergence, fingerprints, line_dedup, mixing, near_join, packing, quality, repair, sentencepiece_fst, sharding, url_filter
 from hindcast.llm import exact_dedup as exact
 
 
@@ -113,6 +113,10 @@ def op11_conversation_repair(spark, sf_dir):
     return whole.select(F.col("_conv").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
 
 
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_best_fit_packing(spark, sf_dir):
     pieces = packing.tokenized(_table(spark, sf_dir, "documents"))
     return packing.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))

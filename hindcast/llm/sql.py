@@ -138,6 +138,29 @@ SELECT v.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT
 FROM (SELECT DISTINCT conv_id FROM conversations) v LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM v.conv_id LEFT JOIN h ON h.conv_id IS NOT DISTINCT FROM v.conv_id
 """
 
+_SHARE = "1 + (1000000000 * ({count} + 5)::HUGEINT) // ({total} + 5 * v)"
+OP12 = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS ts FROM documents
+), w AS (SELECT i, lang, source, unnest(ts) AS term FROM d),
+c AS (SELECT lang, source, term, count(*) AS c, count(DISTINCT i) AS docs FROM w GROUP BY 1, 2, 3),
+k AS (SELECT lang, term, sum(c) AS c FROM c GROUP BY 1, 2 HAVING sum(docs) >= 30),
+v AS (SELECT lang, count(*) AS v, sum(c) AS total FROM k GROUP BY 1),
+g AS (SELECT DISTINCT lang, source FROM d),
+n AS (SELECT lang, source, sum(c.c) AS n FROM c SEMI JOIN k USING (lang, term) GROUP BY 1, 2),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, {_SHARE.format(count="coalesce(c.c, 0)", total="coalesce(n.n, 0)")} AS p, {_SHARE.format(count="k.c", total="v.total")} AS q
+  FROM g JOIN k USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)
+), s AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY 1, 2, 3
+), r AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE c > 0 AND p > q
+), z AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM z WHERE part = 'pair' OR rank <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op4_exact_dedup": OP4, "op10_url_filter": OP10, "op11_conversation_repair": OP11}
+    return {"op1_chat_formatting": OP1, "op4_exact_dedup": OP4, "op10_url_filter": OP10, "op11_conversation_repair": OP11, "op12_source_divergence": OP12}
