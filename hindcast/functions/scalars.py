@@ -55,8 +55,9 @@ def banded(x: Column, above: list[tuple[float, str]], below: list[tuple[float, s
     return out.otherwise(otherwise)
 
 
-def board_score(a: DataFrame) -> DataFrame:
-    """side, expected and adverse move, reward_risk, score, blockers, eligible and tier of analyses."""
+def board_score(a: DataFrame, require_reward_risk: bool = False) -> DataFrame:
+    """side, expected and adverse move, reward_risk, score, blockers, eligible and tier of analyses;
+    a reward under the risk blocks only if ``require_reward_risk``."""
     long_ = F.col("edge") >= 0
     df = a.withColumns({"side": F.when(long_, "long").otherwise("short"), "width": F.col("high") - F.col("low"), "expected_move": F.when(long_, F.col("typical")).otherwise(-F.col("typical")), "adverse_move": F.greatest(F.lit(0.0), F.when(long_, -F.col("low")).otherwise(F.col("high")))})
     floor = F.greatest(F.lit(0.5), 0.25 * F.col("width"))
@@ -68,7 +69,7 @@ def board_score(a: DataFrame) -> DataFrame:
     df = df.withColumns({"reward_risk": F.col("expected_move") / F.greatest(F.col("adverse_move"), floor), "score": clamp(points, 0, 100)})
     sc, rr = F.round("score", 9), F.round("reward_risk", 9)  # thresholds don't depend on the last bits
     why = F.array(
-        F.when(~F.col("audited"), "no audit"), F.when(F.col("expected_move") < MIN_MOVE, "small move"), F.when((F.col("price") > 0) & (F.col("price") < MIN_PRICE), "low price"), F.when(sc < MIN_SCORE, "low score"),
+        F.when(~F.col("audited"), "no audit"), F.when(F.col("expected_move") < MIN_MOVE, "small move"), F.when((F.col("price") > 0) & (F.col("price") < MIN_PRICE), "low price"), F.when(F.lit(require_reward_risk) & (rr < MIN_REWARD_RISK), "low reward"), F.when(sc < MIN_SCORE, "low score"),
     )
     df = df.withColumn("blockers", F.filter(why, lambda x: x.isNotNull())).withColumn("eligible", F.size("blockers") == 0)
     ok = F.col("eligible") & (rr >= MIN_REWARD_RISK)

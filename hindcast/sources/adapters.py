@@ -58,6 +58,18 @@ def bars(spark: SparkSession, sf_dir: str, weekends: bool = False) -> DataFrame:
     return positions(_walk(sums))
 
 
+def part_bars(spark: SparkSession, sf_dir: str, parts: int = 200) -> DataFrame:
+    """Daily bars by groups of ``parts`` parts, so that symbols grow with the table; every
+    seventh group also trades at weekends."""
+    group = F.floor((F.col("l_partkey") - 1) / parts)
+    rows = table(spark, sf_dir, "lineitem").withColumn("session_date", F.to_date("l_shipdate"))
+    rows = rows.where((group % 7 == 0) | (F.weekday("session_date") < 5))
+    sums = rows.groupBy(F.concat(F.lit("P"), F.lpad(group.cast("string"), 7, "0")).alias("symbol"), "session_date").agg(
+        F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.sum("l_quantity").alias("volume")
+    )
+    return positions(_walk(sums))
+
+
 def raw_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Noisy unit prices by part type and weekday; moves are wild on purpose."""
     rows = _items(spark, sf_dir).withColumn("session_date", F.to_date("l_shipdate")).where(F.weekday("session_date") < 5)
