@@ -85,15 +85,17 @@ def trade_plan(rows: DataFrame, forecasts: DataFrame) -> DataFrame:
     return df.select(*BY, "action", F.col("price").alias("entry"), *[planned(c).alias(n) for n, c in out.items()])
 
 
-def projection(rows: DataFrame, widening: DataFrame | None = None, horizon: int = 21) -> DataFrame:
+def projection(rows: DataFrame, widening: DataFrame | None = None, horizon: int = 21, by_anchor: bool = False, horizons: DataFrame | None = None) -> DataFrame:
     """(symbol, anchor, day, low, median, high): weighted 20, 50 and 80 % of the paths day by
-    day, the band widened by the conformal ``adjustment`` of a symbol times sqrt(day / horizon)."""
+    day, the band widened by the conformal ``adjustment`` of a symbol (or, ``by_anchor``, of each
+    forecast) times sqrt(day / horizon); ``horizons`` has a symbol's own."""
     days = rows.select(*BY, "pos", "weight", F.posexplode("path").alias("day", "value"))
     by = [*BY, "day"]
     bands = reduce(lambda a, b: a.join(b, by), [M.weighted_quantile(days, by, "value", "weight", q, n) for n, q in (("low", 0.2), ("median", 0.5), ("high", 0.8))])
-    if widening is not None:
-        bands = bands.join(widening.select("symbol", "adjustment"), "symbol", "left")
-    wide = (F.coalesce("adjustment", F.lit(0.0)) if widening is not None else F.lit(0.0)) * F.sqrt(F.col("day") / horizon)
+    key = BY if by_anchor else ["symbol"]
+    bands = bands.join(widening.select(*key, "adjustment"), key, "left") if widening is not None else bands.withColumn("adjustment", F.lit(0.0))
+    bands = bands.join(horizons.select("symbol", "horizon"), "symbol") if horizons is not None else bands.withColumn("horizon", F.lit(horizon))
+    wide = F.coalesce("adjustment", F.lit(0.0)) * F.sqrt(F.col("day") / F.col("horizon"))
     return bands.select(*by, (F.col("low") - wide).alias("low"), "median", (F.col("high") + wide).alias("high"))
 
 

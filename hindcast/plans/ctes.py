@@ -9,6 +9,9 @@ _WALK = """
 BARS = """bars_s AS (SELECT p_type AS symbol, CAST(l_shipdate AS DATE) AS session_date, avg(l_discount) AS d, avg(l_tax) AS t, sum(l_quantity) AS volume
   FROM lineitem JOIN part ON l_partkey = p_partkey WHERE dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1, 2),""" + _WALK.format(p="bars")
 
+PART_BARS = """part_bars_s AS (SELECT 'P' || lpad(CAST((l_partkey - 1) // 200 AS VARCHAR), 7, '0') AS symbol, CAST(l_shipdate AS DATE) AS session_date, avg(l_discount) AS d, avg(l_tax) AS t, sum(l_quantity) AS volume
+  FROM lineitem WHERE ((l_partkey - 1) // 200) % 7 = 0 OR dayofweek(l_shipdate) BETWEEN 1 AND 5 GROUP BY 1, 2),""" + _WALK.format(p="part_bars")
+
 RAW = """raw AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY session_date) - 1 AS pos FROM (
   SELECT p_type AS symbol, CAST(l_shipdate AS DATE) AS session_date,
     arg_min(l_extendedprice / l_quantity, (l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity)) AS open,
