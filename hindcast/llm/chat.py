@@ -226,8 +226,9 @@ DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss
 def read_back(formatted: DataFrame) -> DataFrame:
     """What each conversation says, parsed from its segments.
 
-    Segments are dealt by conversation, sorted, and read as a stream that holds
-    hash states only, so a conversation of any length takes bounded memory.
+    Segments are dealt by conversation, sorted (turns that tie by role and text), and read
+    as a stream that holds hash states only, so a conversation of any length takes
+    bounded memory.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,5 +256,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         if state is not None:
             yield _batch([row()], DIGEST)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "item", "segment")
+    # the text as the segment has it: escapes undone, as they would change the order of ties
+    said = F.regexp_replace(F.split(F.col("segment"), re.escape(ROLE_END), 2)[1], r"(?s)\\(.)|" + re.escape(TURN_END) + r"\z", "$1")
+    ordered = formatted.withColumn("said", said).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "item", "role", "said")
     return ordered.select("conv_id", "segment", "loss_start", "loss_end").mapInArrow(run, DIGEST)
