@@ -8,8 +8,8 @@ the number of distinct shingles, exactly while no more than k are held.
 Defined cases: null counts as the empty text, whose fingerprint is empty; two
 empty fingerprints resemble each other by 1, an empty and a filled one by 0; a
 text under five words has one shingle of all its words; rows repeated or tied on
-the id stand in text order; one row is its own next; an empty table gives an
-empty result; other columns are ignored.
+the id stand in text order, null ids after all others; one row is its own next; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -122,31 +122,32 @@ def _sorted_merge(key: str, column: str, k: int):
     return run
 
 
-NO_ID = -(2**63) + 1  # stands for a null doc_id while rows are ordered
-
-
 def in_order(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """place, guest, doc_id, text, next_text in the order of falling doc_id within each place.
+    """place, guest, doc_id, text, next_text in the order of falling doc_id within each place; null ids come last.
 
     next_text is the text of the next row (of the first row, after the last).  Rows
     are dealt into ranges of doc_id; the first rows of each range are also sent, as
     guests, to the end of the range before it, so that each text moves once.
     """
-    rows = docs.select(F.coalesce(F.col(doc_id), F.lit(NO_ID)).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.select("doc_id")
     ranges = max(64, min(4096, ids.count() // 20_000))
-    cuts = sorted({-int(c) for c in ids.stat.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.25 / ranges)})
+    # percentile_approx keeps longs as they are
+    spots = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = sorted(set(ids.agg(F.percentile_approx("doc_id", spots, F.lit(4 * ranges))).first()[0] or []))
     cut = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.size(F.filter(cut, lambda c: c <= -F.col("doc_id"))).cast("int")
+    place = F.when(F.col("doc_id").isNull(), len(cuts)).otherwise(F.size(F.filter(cut, lambda c: c >= F.col("doc_id")))).cast("int")
     # one number a range comes to the driver: its largest doc_id, which is first
     firsts = sorted((r.place, r.first) for r in ids.groupBy(place.alias("place")).agg(F.max("doc_id").alias("first")).collect())
     head = F.lit(None).cast("int")
     if firsts:
-        pairs = [x for i, (_, first) in enumerate(firsts) for x in (F.lit(first).cast("long"), F.lit(firsts[i - 1][0]))]
-        head = F.try_element_at(F.create_map(*pairs), F.col("doc_id"))
+        before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
+        pairs = [x for first, to in before.items() if first is not None for x in (F.lit(first).cast("long"), F.lit(to))]
+        named = F.try_element_at(F.create_map(*pairs), F.col("doc_id")) if pairs else head
+        head = F.when(F.col("doc_id").isNull(), F.lit(before.get(None)).cast("int")).otherwise(named)
     to = F.array(F.struct(place.alias("place"), F.lit(0).alias("guest")), F.struct(head.alias("place"), F.lit(1).alias("guest")))
     both = rows.select("doc_id", "text", F.explode(F.filter(to, lambda x: x["place"].isNotNull())).alias("to"))
-    w = Window.partitionBy("place").orderBy("guest", F.col("doc_id").desc(), "text")
+    w = Window.partitionBy("place").orderBy("guest", F.col("doc_id").desc_nulls_last(), "text")
     return both.select("to.place", "to.guest", "doc_id", "text").withColumn("next_text", F.lead("text").over(w))
 
 
@@ -178,7 +179,7 @@ def edited_and_near(docs: DataFrame, k: int = K) -> DataFrame:
                     held = None
                 if not guest:
                     other = sketch(new, k)
-                    held = [doc_id if doc_id != NO_ID else None, n_chars, sha, encode(mine), encode(other), resemblance(mine, other, k), mine]
+                    held = [doc_id, n_chars, sha, encode(mine), encode(other), resemblance(mine, other, k), mine]
             if out:
                 yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*out)))), schema=types)
 
