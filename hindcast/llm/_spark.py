@@ -49,6 +49,22 @@ def materialise(df: DataFrame, label: str, hashes: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+OTHERS = "_others"
+
+
+def set_aside(docs: DataFrame, used: tuple[str, ...] = ("doc_id", "text", "source", "n_chars")) -> DataFrame:
+    """``docs`` with all columns but the used ones in one struct, where no name that an
+    operator gives to a column of its own can meet them."""
+    names = lambda inside: [F.col(f"`{c}`") for c in docs.columns if (c in used) == inside]
+    others = names(False)
+    return docs.select(*names(True), *([F.struct(*others).alias(OTHERS)] if others else []))
+
+
+def set_back(out: DataFrame, columns: list[str], used: tuple[str, ...] = ("doc_id", "text", "source", "n_chars")) -> DataFrame:
+    """The columns that :func:`set_aside` was given, in their order."""
+    return out.select(*[F.col(f"`{c}`") if c in used else F.col(OTHERS).getField(c).alias(c) for c in columns])
+
+
 def single_blanks(text: Column, inside: bool = False) -> Column:
     """A text with other ASCII white space as blanks.
 

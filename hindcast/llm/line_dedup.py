@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import ascii_words, bitmap_filter, filter_bits, materialise, might_contain, single_blanks
+from hindcast.llm._spark import ascii_words, bitmap_filter, filter_bits, materialise, might_contain, set_aside, set_back, single_blanks
 
 RARITY_CELLS = 1 << 16  # as many groups as Spark's fast map of an aggregation holds
 LAST = 2**63 - 1  # null ids are ordered below it
@@ -192,8 +192,8 @@ def dedup_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def deduped_documents(docs: DataFrame) -> DataFrame:
-    """``docs`` after line dedup, with its own columns; n_chars is set anew."""
-    cleaned = dedup_lines(docs)
+    """``docs`` after line dedup, with its own columns, whatever their names; n_chars is set anew."""
+    cleaned = dedup_lines(set_aside(docs))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.char_length("text").cast("long"))
-    return cleaned.select(*docs.columns)
+    return set_back(cleaned, docs.columns)

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import ascii_words, materialise, running_start, spread
+from hindcast.llm._spark import ascii_words, materialise, running_start, set_aside, set_back, spread
 
 BLOCK_WORDS = 64
 SHARD_SLOTS = 4_096
@@ -246,10 +246,11 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
     A document taken whole keeps its text as it is; of one taken in part the taken
     words stay, a blank between.  Rows are told apart by a number written with them,
-    as ids may be null or repeated.  Columns as in ``docs``; n_chars is set anew.
+    as ids may be null or repeated.  Columns as in ``docs``, whatever their names; n_chars
+    is set anew.
     """
     columns = docs.columns
-    docs = materialise(docs.withColumn("_mix_row", F.monotonically_increasing_id()), "mix-numbered")
+    docs = materialise(set_aside(docs).withColumn("_mix_row", F.monotonically_increasing_id()), "mix-numbered")
     _, segments = mix(docs, row_key="_mix_row", **options)
     parts = segments.groupBy("row_key", "size", "epoch").agg(
         F.sum(F.col("last") - F.col("first")).alias("got"), F.array_sort(F.collect_set(F.struct("first", "last"))).alias("ranges")
@@ -261,4 +262,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     joined = joined.withColumn("text", F.when(F.col("_mix_whole"), F.col("text")).otherwise(some))
     if "n_chars" in columns:
         joined = joined.withColumn("n_chars", F.char_length("text").cast("long"))
-    return joined.select(*columns)
+    return set_back(joined, columns)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hindcast.llm._spark import join_by_key, materialise, semi_by_filter
+from hindcast.llm._spark import join_by_key, materialise, semi_by_filter, set_aside, set_back
 from hindcast.llm._text import Words, buffers, fmix, shingle_hashes, slices, texts_shingles
 
 PERMUTATIONS = 128
@@ -294,10 +294,10 @@ def _grouped(docs: DataFrame, threshold: float, doc_id: str = "doc_id", text: st
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group, columns unchanged.
+    """``docs`` with one row of each near-duplicate group, columns unchanged, whatever their names.
 
     Rows are told apart by a number written with them, as ids may be null or repeated.
     """
-    numbered = materialise(docs.withColumn("_near_row", F.monotonically_increasing_id()), "near-numbered")
+    numbered = materialise(set_aside(docs).withColumn("_near_row", F.monotonically_increasing_id()), "near-numbered")
     kept = _grouped(numbered, threshold, row="_near_row").where("kept").select(F.col("row").alias("_near_row"))
-    return numbered.join(kept.hint("merge"), "_near_row", "left_semi").select(*docs.columns)
+    return set_back(numbered.join(kept.hint("merge"), "_near_row", "left_semi"), docs.columns)

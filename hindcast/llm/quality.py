@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hindcast.llm._spark import set_aside, set_back
 from hindcast.llm._text import Words, buffers, slices
 
 PASSAGE_WORDS = 64
@@ -214,6 +215,7 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that the classifier does not reject, their columns unchanged."""
-    scored = score(docs.drop("_score"), train(docs, labels), out="_score")
-    return scored.where(F.col("_score") >= threshold).select(*docs.columns)
+    """The documents that the classifier does not reject, their columns unchanged, whatever their names."""
+    own = set_aside(docs)
+    scored = score(own, train(own, labels), out="_score")
+    return set_back(scored.where(F.col("_score") >= threshold), docs.columns)
