@@ -39,7 +39,7 @@ from hindcast.llm._text import buffers, slices
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text in a block, terms in a chunk, terms that may wait in a merge, pairs held before a spill.
-BLOCK, CHUNK, WAITING, PAIRS = 16 << 20, 4096, 1 << 19, 1 << 21
+BLOCK, CHUNK, WAITING, PAIRS = 10 << 20, 4096, 1 << 19, 1 << 21
 
 _term = np.full(256, 0x20, np.uint8)
 _term[0x61:0x7B] = np.arange(0x61, 0x7B)
