@@ -1,8 +1,9 @@
 """Structured Streaming jobs: session bars, incremental refresh, grading, throttling.
 
 Files land in a folder; each job runs with ``availableNow`` and is exactly-once by
-its checkpoint.  ``foreachBatch`` sinks write a new version of their table and then
-move a pointer row, so a batch that is tried again gives the same table.
+its checkpoint.  ``foreachBatch`` sinks write new versions of the buckets that a batch
+touches and then commit them by a log (:mod:`hindcast.streaming.tables`), so a batch that
+is tried again gives the same table.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from hindcast.operators.bars import drifted, replace_series
 from hindcast.operators.records import grade
+from hindcast.streaming.tables import CommittedTable
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 _own: list[str] = []
@@ -60,19 +62,10 @@ def to_table(spark: SparkSession, stream: DataFrame, label: str) -> DataFrame:
 
 
 def versioned(spark: SparkSession, stream: DataFrame, label: str, first: DataFrame, step: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
-    """Fold micro-batches into a table: each batch reads the version before its number and
-    writes its own, so repeating a batch changes nothing."""
-    base, schema = scratch(spark, label), first.schema
-    first.write.mode("overwrite").parquet(f"{base}/v0")
-    seen = {"last": 0}
-
-    def batch(df: DataFrame, number: int) -> None:
-        before = spark.read.schema(schema).parquet(f"{base}/v{number}")
-        step(before, df).select(*schema.names).write.mode("overwrite").parquet(f"{base}/v{number + 1}")
-        seen["last"] = number + 1
-
-    run(stream.writeStream.foreachBatch(batch).option("checkpointLocation", f"{base}-state"))
-    return spark.read.schema(schema).parquet(f"{base}/v{seen['last']}")
+    """Fold micro-batches of symbols into a committed table and read it to the end of the stream."""
+    table = CommittedTable(spark, scratch(spark, label), first.schema)
+    table.start(first)
+    return table.fold(stream, step)
 
 
 def refresh(stored: DataFrame, batch: DataFrame) -> DataFrame:
