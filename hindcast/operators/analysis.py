@@ -232,9 +232,10 @@ def forecasts(p: Prepared, anchors: DataFrame, episodes: DataFrame, base: DataFr
     })
     score, label, reference = E.agreement(F.col("raw"), F.col("typical"), F.col("news"), F.col("articles"), F.col("lean"))
     df = df.withColumns({"agreement": score, "agreement_label": label, "agreement_reference": reference, "headline": E.headline(F.col("direction"), F.col("lean"))})
+    df = df.withColumn("explanation", E.explanation(F.col("direction"), F.col("lean"), F.col("edge"), F.col("typical"), F.col("baseline")))
     by_horizon = reduce(lambda a, b: a.join(b, ANCHOR, "left"), [_horizon(p, mine, today, k, c) for k, c in HORIZONS.items() if k != "h"])
     kept = ["as_of", "price", "sampling", "horizon", "shape_days", "profile", "matches", "effective_n", "years", "wins", "analog", "baseline", "raw", "combined", "calibrated", "edge", "lean", "direction", "typical", "low", "high", "range_low", "range_high",
-            "best", "worst", "probability_low", "probability_high", "evidence", "agreement", "agreement_label", "agreement_reference", "headline", "grade", "skill", "n", "news", "articles", "profile_brier", "tuning", "calibration", "evaluation"]
+            "best", "worst", "probability_low", "probability_high", "evidence", "agreement", "agreement_label", "agreement_reference", "headline", "explanation", "grade", "skill", "n", "news", "articles", "profile_brier", "tuning", "calibration", "evaluation"]
     return df.join(by_horizon, ANCHOR, "left").select(*CELL, *kept, *[c for k in HORIZONS if k != "h" for c in (f"probability_{k}", f"median_{k}", f"direction_{k}")])
 
 

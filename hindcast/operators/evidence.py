@@ -55,6 +55,61 @@ def headline(direction: Column, lean: Column) -> Column:
     return F.when(direction.isin("bullish", "bearish"), F.when(direction == "bullish", HEADLINES["bullish"]).otherwise(HEADLINES["bearish"])).when(lean != "neutral", HEADLINES["doubt"]).otherwise(HEADLINES["none"])
 
 
+def explanation(direction: Column, lean: Column, edge: Column, typical: Column, baseline: Column) -> Column:
+    """The sentence under the verdict's headline; edge in points, typical and baseline in percent."""
+    edge, typical = F.round(edge, 1), F.round(typical, 2)
+    told = lambda word: F.format_string(f"The analogs show a %+.1f-point edge {word} this asset's normal up-rate. Their typical one-month move was %+.1f%%.", edge, typical)
+    doubt = F.lit("The historical analogs had a directional edge, but current headlines weaken it enough that waiting is the honest call.")
+    none = F.format_string("The closest setups do not beat this asset's normal %d%% up-rate by enough to justify a directional prediction.", F.rint(baseline).cast("int"))
+    return F.when(direction == "bullish", told("over")).when(direction == "bearish", told("versus")).when(lean != "neutral", doubt).otherwise(none)
+
+
+# Bands of a setup's cards, upper ones first, then lower ones, then what is between.
+CARDS = {
+    "momentum": ([(8, "Strong advance"), (2, "Rising")], [(-8, "Sharp decline"), (-2, "Falling")], "Sideways"),
+    "rsi": ([(70, "Overbought")], [(30, "Oversold")], "Balanced"),
+    "volume": ([(40, "Heavy volume")], [(-30, "Quiet volume")], "Normal volume"),
+    "market": ([(3, "Market tailwind")], [(-3, "Market headwind")], "Neutral market"),
+}
+
+
+def _band(x: Column, kind: str) -> Column:
+    above, below, between = CARDS[kind]
+    out = F.when(x.isNull(), F.lit(None))
+    for t, label in above:
+        out = out.when(x >= t, label)
+    for t, label in below:
+        out = out.when(x <= t, label)
+    if kind == "rsi":
+        out = out.when(x >= 55, "Buyers in control").when(x <= 45, "Sellers in control")
+    return out.otherwise(between)
+
+
+def cards(f: dict[str, Column], regime: tuple[Column, Column, Column, Column], usual_vol: Column) -> Column:
+    """The cards of a setup (label, value, detail) from its features; a card whose feature is NULL is left out."""
+    trend, volatility, fall, _ = regime
+    r = {k: F.round(c, 6) for k, c in f.items()}
+    usual = F.when(F.coalesce(usual_vol, F.lit(0.0)) != 0, F.format_string(" vs %.1f%% typical", F.round(usual_vol, 6))).otherwise("")
+    made = [
+        ("Price path", _band(r["r21"], "momentum"), F.format_string("%+.1f%% over 21 trading days", r["r21"]), r["r21"]),
+        ("Trend regime", trend, F.format_string("Short %+.1f%% · Long %+.1f%%", r["trend_short"], r["trend_long"]), r["trend_short"] + r["trend_long"]),
+        ("Volatility", volatility, F.concat(F.format_string("%.1f%% annualized", r["vol21"]), usual), r["vol21"]),
+        ("Drawdown", fall, F.format_string("%.1f%% from the one-year high", r["drawdown"]), r["drawdown"]),
+        ("RSI pressure", _band(r["rsi"], "rsi"), F.format_string("RSI %.0f", F.rint(r["rsi"])), r["rsi"]),
+        ("Participation", _band(r["volume_ratio"], "volume"), F.format_string("%+.0f%% vs 20-day volume", F.rint(r["volume_ratio"])), r["volume_ratio"]),
+        ("Broad market", _band(r["market_trend"], "market"), F.format_string("Market %+.1f%% vs its 200-day trend", r["market_trend"]), r["market_trend"]),
+    ]
+    each = [F.when(seen.isNotNull(), F.struct(F.lit(label).alias("label"), value.alias("value"), detail.alias("detail"))) for label, value, detail, seen in made]
+    return F.filter(F.array(*each), lambda c: c.isNotNull())
+
+
+def setup(regime: tuple[Column, Column, Column, Column], momentum: Column, drawdown: Column) -> Column:
+    """One sentence on where a series stands; NULL without momentum or drawdown."""
+    trend, volatility, _, _ = regime
+    text = F.format_string("Today is a %s with %s volatility, %+.1f%% one-month momentum, and price %.1f%% below its one-year high.", F.lower(trend), F.lower(volatility), F.round(momentum, 6), F.abs(F.round(drawdown, 6)))
+    return F.when(momentum.isNotNull() & drawdown.isNotNull(), text)
+
+
 def episodes(chosen: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Chosen episodes with the paths that followed them (``outcomes`` made with paths)."""
     return chosen.join(outcomes.select("symbol", "pos", "path", "low_path", "high_path", "max_upside", "max_drawdown"), ["symbol", "pos"]).where("path is not null")

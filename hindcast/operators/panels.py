@@ -123,6 +123,22 @@ def ic_summary(ic: DataFrame) -> DataFrame:
     return out.select("feature", "days", "ic", F.try_divide(F.col("ic"), F.nullif(F.col("_sd") / F.sqrt("days"), F.lit(0.0))).alias("t"))
 
 
+def replicated(ic: DataFrame, other: DataFrame, cut: Column, least_days: int, least_t: float = 2.0) -> DataFrame:
+    """Each feature's correlations before and from the date ``cut``, and whether it holds.
+
+    ``other`` has the correlations with a second target.  A feature counts as tested with
+    enough days in both halves and there; of N tested ones it survives if its earlier t is beyond
+    sqrt(2 ln N), what noise alone would reach, its sign is the same later, and its later t
+    beyond ``least_t``.
+    """
+    half = lambda df, name: ic_summary(df).where(F.col("days") >= least_days).select("feature", *[F.col(c).alias(f"{name}_{c}") for c in ("days", "ic", "t")])
+    parts = half(ic.where(F.col("session_date") < cut), "train").join(half(ic.where(F.col("session_date") >= cut), "test"), "feature").join(half(other, "other"), "feature")
+    parts = parts.withColumn("tested", F.count(F.lit(1)).over(Window.partitionBy()))  # one row a feature
+    noise = F.when(F.col("tested") > 1, F.sqrt(2 * F.ln("tested")))
+    holds = (F.abs("train_t") > noise) & (F.signum("train_ic") == F.signum("test_ic")) & (F.abs("test_t") > least_t)
+    return parts.withColumns({"noise": noise, "survives": F.coalesce(holds, F.lit(False))})
+
+
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     """n, rho of a (small, per-date) series."""
     rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("_k", F.lit(1))

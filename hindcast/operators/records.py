@@ -151,9 +151,10 @@ def leaderboards(marked: DataFrame, limit: int = 50) -> DataFrame:
     r = F.col("signed_return")
     board = F.concat_ws("_", "side", F.when(r > 0, "winners").otherwise("losers"))
     rows = marked.where("state in ('open', 'matured') and side is not null and signed_return <> 0").withColumn("board", board)
-    w = Window.partitionBy("board")
-    rows = rows.withColumns({"rank": F.row_number().over(w.orderBy(F.abs(r).desc(), "symbol", "as_of_date")), "total": F.count(F.lit(1)).over(w)})
-    return rows.where(F.col("rank") <= limit)
+    best = F.row_number().over(Window.partitionBy("board").orderBy(F.abs(r).desc(), "symbol", "as_of_date"))
+    # the rank stands alone, so that each task keeps its own first ``limit``; totals are counted apart
+    totals = rows.groupBy("board").agg(F.count(F.lit(1)).alias("total"))
+    return rows.withColumn("rank", best).where(F.col("rank") <= limit).join(F.broadcast(totals), "board")
 
 
 def accounting(ledger: DataFrame, as_of: str) -> DataFrame:

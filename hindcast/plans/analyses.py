@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hindcast.operators import analysis as Y
 from hindcast.operators import episodes as N
 from hindcast.operators import evidence as E
+from hindcast.operators import features as X
 from hindcast.operators import replay as P
 from hindcast.plans import ctes as C
-from hindcast.plans.registry import query, rounded
+from hindcast.plans import bars as _bars  # noqa: F401  its SQL is used below
+from hindcast.plans.registry import ORACLES, query, rounded
 from hindcast.sources import adapters as A
 from hindcast.streaming.jobs import scratch
 
@@ -39,7 +42,7 @@ def c2_audited_forecast(spark, sf_dir):
     told = a.forecasts.drop("n", "grade", "skill")
     df = told.join(a.audits, Y.CELL, "left")
     numbers = ("analog", "baseline", "combined", "calibrated", "edge", "typical", "range_low", "range_high", "probability_low", "probability_high", "accuracy", "base_accuracy", "brier", "base_brier", "skill", "adjustment", "raw_coverage", "adjusted_coverage")
-    return df.select("symbol", "as_of", "sampling", "profile", "tuning", "calibration", "n", "matches", "years", "lean", "direction", "grade", "independent", "actionable", *rounded(*numbers), "evidence", "agreement", "headline")
+    return df.select("symbol", "as_of", "sampling", "profile", "tuning", "calibration", "n", "matches", "years", "lean", "direction", "grade", "independent", "actionable", *rounded(*numbers), "evidence", "agreement", "headline", "explanation")
 
 
 @query()
@@ -113,3 +116,26 @@ def w27_date_grids(spark, sf_dir):
     grids = {"grid": P.date_grid(days, 21), "run": P.date_grid(days, 21, runs=[("1999-01-01", 5)]), "sample": P.date_grid(days, 21, sample=12)}
     rows = [g.select(F.lit(k).alias("kind"), "as_of") for k, g in grids.items()]
     return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+_REGIME = """r AS (SELECT *, CASE WHEN coalesce(trend_short, 0) > 1 AND coalesce(trend_long, 0) > 0 THEN 'Uptrend' WHEN coalesce(trend_short, 0) < -1 AND coalesce(trend_long, 0) < 0 THEN 'Downtrend' ELSE 'Transition' END AS trend,
+ CASE WHEN coalesce(vol_ratio, 0) >= 25 THEN 'Expanding' WHEN coalesce(vol_ratio, 0) <= -20 THEN 'Calm' ELSE 'Normal' END AS volatility, CASE WHEN coalesce(drawdown, 0) <= -20 THEN 'Deep drawdown' WHEN coalesce(drawdown, 0) <= -8 THEN 'Below highs' ELSE 'Near highs' END AS fall FROM f)"""
+
+
+@query(f"""WITH f AS (SELECT * REPLACE (CASE WHEN drawdown = 0 THEN 0.0 ELSE drawdown END AS drawdown), round(median(vol21) OVER (PARTITION BY symbol), 6) AS usual FROM ({ORACLES['w1_w8_price_features']})), {_REGIME}
+SELECT symbol, pos, trend || ' · ' || volatility || ' volatility · ' || fall AS regime, CASE WHEN r21 IS NOT NULL AND drawdown IS NOT NULL THEN printf('Today is a %s with %s volatility, %+.1f%% one-month momentum, and price %.1f%% below its one-year high.', lower(trend), lower(volatility), r21, abs(drawdown)) END AS setup,
+ concat_ws('; ', CASE WHEN r21 IS NOT NULL THEN 'Price path: ' || CASE WHEN r21 >= 8 THEN 'Strong advance' WHEN r21 >= 2 THEN 'Rising' WHEN r21 <= -8 THEN 'Sharp decline' WHEN r21 <= -2 THEN 'Falling' ELSE 'Sideways' END || printf(' (%+.1f%% over 21 trading days)', r21) END,
+  CASE WHEN trend_short + trend_long IS NOT NULL THEN 'Trend regime: ' || trend || printf(' (Short %+.1f%% · Long %+.1f%%)', trend_short, trend_long) END,
+  CASE WHEN vol21 IS NOT NULL THEN 'Volatility: ' || volatility || printf(' (%.1f%% annualized', vol21) || CASE WHEN coalesce(usual, 0) <> 0 THEN printf(' vs %.1f%% typical', usual) ELSE '' END || ')' END,
+  CASE WHEN drawdown IS NOT NULL THEN 'Drawdown: ' || fall || printf(' (%.1f%% from the one-year high)', drawdown) END,
+  CASE WHEN volume_ratio IS NOT NULL THEN 'Participation: ' || CASE WHEN volume_ratio >= 40 THEN 'Heavy volume' WHEN volume_ratio <= -30 THEN 'Quiet volume' ELSE 'Normal volume' END || printf(' (%+.0f%% vs 20-day volume)', volume_ratio) END) AS cards FROM r""")
+def f30_f5_fingerprint_cards(spark, sf_dir):
+    """Where every session stands: regime, setup sentence and the cards of its price features."""
+    df = X.price_features(A.bars(spark, sf_dir))
+    names = ("r21", "trend_short", "trend_long", "vol21", "vol_ratio", "drawdown", "volume_ratio")
+    df = df.withColumns({c: F.round(c, 6) for c in names}).withColumn("usual", F.round(F.median("vol21").over(Window.partitionBy("symbol")), 6))
+    regime = Y.regime(F.col("trend_short"), F.col("trend_long"), F.col("vol_ratio"), F.col("drawdown"))
+    none = F.lit(None).cast("double")
+    shown = E.cards({c: F.col(c) for c in names} | {"rsi": none, "market_trend": none}, regime, F.col("usual"))
+    text = F.array_join(F.transform(shown, lambda c: F.concat(c["label"], F.lit(": "), c["value"], F.lit(" ("), c["detail"], F.lit(")"))), "; ")
+    return df.select("symbol", F.col("pos").cast("long").alias("pos"), regime[3].alias("regime"), E.setup(regime, F.col("r21"), F.col("drawdown")).alias("setup"), text.alias("cards"))

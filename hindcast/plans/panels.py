@@ -304,6 +304,29 @@ def a40_ic_summary(spark, sf_dir):
     return s.select("feature", "days", *rounded("ic", "t"), (F.abs("t") > F.sqrt(2 * F.ln("n"))).alias("beyond_noise"))
 
 
+_IC_BOTH = _IC + ", lg2 AS (SELECT * FROM (" + " UNION ALL ".join(f"SELECT session_date, symbol, '{f}' AS feature, round({f}, 9) AS value, round(next_ret, 9) AS forward FROM g3" for f in N.SEARCHED) + """) WHERE value IS NOT NULL AND forward IS NOT NULL),
+rk2 AS (SELECT feature, session_date, rank() OVER (PARTITION BY feature, session_date ORDER BY value) + (count(*) OVER (PARTITION BY feature, session_date, value) - 1) / 2 AS rv, rank() OVER (PARTITION BY feature, session_date ORDER BY forward) + (count(*) OVER (PARTITION BY feature, session_date, forward) - 1) / 2 AS rf FROM lg2),
+ic2 AS (SELECT feature, session_date, count(*) AS names, corr(rv, rf) AS ic FROM rk2 GROUP BY 1, 2 HAVING count(*) >= 30)"""
+_HALF = "SELECT feature, count(*) AS days, avg(ic) AS ic, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM {ic} WHERE ic IS NOT NULL AND NOT isnan(ic) {where} GROUP BY 1 HAVING count(*) >= 20"
+
+
+@query(_IC_BOTH.replace(", lg AS (", ", g3 AS (SELECT *, lead(ret) OVER (PARTITION BY symbol ORDER BY g) AS next_ret FROM g2), lg AS (", 1) + """, ct AS (SELECT session_date AS cut FROM (SELECT DISTINCT session_date, g FROM gr) WHERE g = (SELECT (max(g) + 1) // 2 FROM gr)),
+a AS (""" + _HALF.format(ic="ic, ct", where="AND session_date < cut") + "), b AS (" + _HALF.format(ic="ic, ct", where="AND session_date >= cut") + "), c AS (" + _HALF.format(ic="ic2", where="") + """),
+j AS (SELECT a.feature, a.ic AS train_ic, a.t AS train_t, b.ic AS test_ic, b.t AS test_t, c.ic AS other_ic, a.days + b.days AS days, sqrt(2 * ln(count(*) OVER ())) AS noise FROM a JOIN b USING (feature) JOIN c USING (feature))
+SELECT feature, days, round(train_ic, 6) AS train_ic, round(train_t, 6) AS train_t, round(test_ic, 6) AS test_ic, round(test_t, 6) AS test_t, round(other_ic, 6) AS other_ic, round(noise, 6) AS noise, coalesce(abs(train_t) > noise AND sign(train_ic) = sign(test_ic) AND abs(test_t) > 2, false) AS survives FROM j""")
+def a40_replicated_factors(spark, sf_dir):
+    """Factors chosen on the first half of the sessions, held against noise and the second half."""
+    df = N.search_features(grid(spark, sf_dir))
+    w = Window.partitionBy("symbol").orderBy("g")
+    plain = df.withColumns({f: F.round(f, 9) for f in N.SEARCHED})
+    targets = [F.round(F.lead(F.col("close") / F.col("open") - 1, 1).over(w), 9), F.round(F.lead("ret", 1).over(w), 9)]
+    both = [N.rank_ic(N.melt(plain, N.SEARCHED, t)) for t in targets]
+    days = df.select("session_date", "g").distinct()
+    cut = days.where(F.col("g") == F.floor((days.agg(F.max("g")).first()[0] + 1) / F.lit(2))).first()[0]  # one date
+    out = N.replicated(both[0], both[1], F.lit(cut), 20)
+    return out.select("feature", (F.col("train_days") + F.col("test_days")).alias("days"), *rounded("train_ic", "train_t", "test_ic", "test_t", "other_ic", "noise"), "survives")
+
+
 @query(_IC + """, s AS (SELECT feature, count(*) AS days, avg(ic) / nullif(stddev_samp(ic) / sqrt(count(*)), 0) AS t FROM ic WHERE ic IS NOT NULL AND NOT isnan(ic) GROUP BY 1) SELECT feature, days, round(abs(t), 6) AS t FROM s ORDER BY round(abs(s.t), 6) DESC, feature LIMIT 15""")
 def t7_top_factors(spark, sf_dir):
     return N.ic_summary(ic(spark, sf_dir)).select("feature", "days", F.round(F.abs("t"), 6).alias("t")).orderBy(F.col("t").desc(), "feature").limit(15)

@@ -7,7 +7,9 @@ import random
 
 from pyspark.sql import functions as F
 
+from hindcast.operators import analysis as Y
 from hindcast.operators import evidence as E
+from hindcast.operators import panels as N
 
 
 def quantile(pairs, q):
@@ -97,3 +99,38 @@ def test_tuning_split(spark):
     kinds = {(r.symbol, r.anchor): r.kind for r in got}
     assert [kinds["a", i] for i in range(21)] == ["tuning"] * 14 + ["calibration"] * 7 and kinds["a", 50] == "evaluation"
     assert {kinds["b", i] for i in range(9)} == {"calibration"}
+
+
+def test_cards_and_sentences(spark):
+    names = ("r21", "trend_short", "trend_long", "vol21", "vol_ratio", "drawdown", "rsi", "volume_ratio", "market_trend")
+    rows = [(9.0, 2.0, 1.0, 20.0, 30.0, -25.0, 71.0, 41.0, 3.5), (-2.5, -2.0, -1.0, 10.0, -20.0, -8.0, 45.0, -12.5, -3.0), (0.0, None, None, None, None, 0.0, 50.0, None, None)]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} double" for n in names)).coalesce(1)
+    regime = Y.regime(*[F.col(c) for c in ("trend_short", "trend_long", "vol_ratio", "drawdown")])
+    got = df.select(E.cards({n: F.col(n) for n in names}, regime, F.lit(15.0)).alias("cards"), E.setup(regime, F.col("r21"), F.col("drawdown")).alias("setup"), regime[3].alias("label")).collect()
+    first = {c.label: (c.value, c.detail) for c in got[0].cards}
+    assert first["Price path"] == ("Strong advance", "+9.0% over 21 trading days") and first["Volatility"] == ("Expanding", "20.0% annualized vs 15.0% typical")
+    assert first["RSI pressure"] == ("Overbought", "RSI 71") and first["Broad market"][0] == "Market tailwind" and first["Participation"][0] == "Heavy volume"
+    second = {c.label: (c.value, c.detail) for c in got[1].cards}
+    assert second["RSI pressure"][0] == "Sellers in control" and second["Participation"] == ("Normal volume", "-12% vs 20-day volume") and second["Drawdown"][0] == "Below highs"
+    assert [c.label for c in got[2].cards] == ["Price path", "Drawdown", "RSI pressure"] and got[2].cards[2].value == "Balanced"
+    assert got[0].label == "Uptrend · Expanding volatility · Deep drawdown" and got[2].label == "Transition · Normal volatility · Near highs"
+    assert got[1].setup == "Today is a downtrend with calm volatility, -2.5% one-month momentum, and price 8.0% below its one-year high."
+
+
+def test_explanations(spark):
+    rows = [("bullish", "bullish", 8.25, 1.5, 40.0), ("bearish", "bearish", -6.0, -2.0, 55.0), ("neutral", "bullish", 8.0, 1.0, 50.0), ("neutral", "neutral", 1.0, 0.0, 48.5)]
+    df = spark.createDataFrame(rows, "direction string, lean string, edge double, typical double, baseline double").coalesce(1)
+    got = [r[0] for r in df.select(E.explanation(*[F.col(c) for c in df.columns])).collect()]
+    assert got[0].startswith("The analogs show a +8.3-point edge over") and got[0].endswith("was +1.5%.") and "-6.0-point edge versus" in got[1]
+    assert "waiting is the honest call" in got[2] and "normal 48% up-rate" in got[3]
+
+
+def test_a_factor_must_replicate(spark):
+    draw, rows = random.Random(2), []
+    for feature, first, second in (("steady", 0.1, 0.1), ("turned", 0.1, -0.1), ("noise", 0.0, 0.0), ("short", 0.1, 0.1)):
+        for d in range(60 if feature != "short" else 15):
+            rows.append((feature, d, (first if d < 30 else second) + draw.gauss(0, 0.05)))
+    ic = spark.createDataFrame(rows, "feature string, session_date int, ic double")
+    got = {r.feature: r for r in N.replicated(ic, ic, F.lit(30), 20).collect()}
+    assert set(got) == {"steady", "turned", "noise"} and [got[f].survives for f in ("steady", "turned", "noise")] == [True, False, False]
+    assert math.isclose(got["noise"].noise, math.sqrt(2 * math.log(3)))
