@@ -39,7 +39,7 @@ from hindcast.llm._text import buffers, slices
 
 LEAST_DOCUMENTS, SMOOTHING, SCALE, TOP = 30, 5, 1_000_000_000, 50
 #: Bytes of text in a block, terms in a chunk, terms that may wait in a merge, pairs held before a spill.
-BLOCK, CHUNK, WAITING, PAIRS = 10 << 20, 4096, 1 << 19, 1 << 21
+BLOCK, CHUNK, WAITING, PAIRS = 10 << 20, 4096, 1 << 17, 1 << 19
 
 _term = np.full(256, 0x20, np.uint8)
 _term[0x61:0x7B] = np.arange(0x61, 0x7B)
@@ -146,6 +146,7 @@ def runs(docs: DataFrame, shards: int, block: int = BLOCK, chunk: int = CHUNK) -
                     rows.append((int(s), names[k], p.terms[0], p.terms[-1], b"\n".join(p.terms), *numbers, [sources[i] for i in used]))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), types)], schema=types)
+        pa.default_memory_pool().release_unused()  # a block's arrays go back before the next block
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
