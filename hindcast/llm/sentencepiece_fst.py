@@ -23,7 +23,9 @@ In a merge model the links leave one path, which is the library's encoding.
 Where no piece joins a non-blank to a following blank the machine returns to its
 start at each blank, so a text is cut into such chunks; equal chunks of a slice of
 texts are composed once, and many chunks advance together.  Nothing outlives a
-slice.  A chunk of more than LONG bytes is walked on its own.
+slice.  Longer chunks of a merge model are walked in overlapping windows at once and
+joined where neighbours share a piece; those of a unigram model are cut where no arc
+crosses.  Only what neither takes apart is walked byte by byte on its own.
 
 Defined cases: null and empty texts have no pieces; characters without a piece
 become bytes; control strings in a text are ordinary characters; a literal
@@ -46,10 +48,13 @@ from pyspark.sql import types as T
 from hindcast.llm._text import buffers, slices
 
 BLANK = "▁"
-#: Bytes of texts that are composed together, chunks that advance together, and the longest of them.
+#: Bytes of texts that are composed together, bytes of chunks that advance together, and the longest of them.
 SLICE = 1 << 22
-TOGETHER = 1 << 15
+CELLS = 1 << 21
 LONG = 64
+#: Characters from window to window in longer chunks, and those that neighbours share.  A run
+#: that repeats every 2 to 7 characters gives all windows of one of the strides the same phase.
+STRIDES, OVERLAP = (240, 1680), 48
 #: Symbols that are no piece: before the first piece, and a character without one.
 START, LOOSE = -1, -2
 PAD = 256
@@ -341,23 +346,108 @@ class Transducer:
             n = back[n]
         return tuple(np.array(x, np.int64) for x in zip(*reversed(path)))
 
+    def _many(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """What :meth:`_together` gives, for any number of chunks; those of like length advance together."""
+        order = np.argsort(-lengths, kind="stable")
+        low = 0
+        while low < len(order):
+            some = order[low : low + max(1, CELLS // int(lengths[order[low]]))]
+            low += len(some)
+            chunk, at, symbol = self._together(raw, starts[some], lengths[some])
+            yield some[chunk], at, symbol
+
+    def _windowed(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray, stride: int, second: np.ndarray):
+        """(chunk, first byte, symbol) of the pieces of long chunks of a merge model, which
+        chunks are whole, and the character at which a chunk's first path has a piece begin
+        after its second window does.
+
+        Windows of ``stride`` characters, each with OVERLAP more, are walked at once; a
+        chunk's second one begins at character ``second``.
+        Where two neighbours share a piece, the left path up to it and the right path
+        from it on are one path all of whose links hold, and there is only one such.
+        """
+        raw = raw[_ragged(starts, lengths)]
+        ends = np.cumsum(lengths)
+        heads = np.flatnonzero(_widths(raw))
+        of = np.searchsorted(ends, heads, "right")
+        first, past = np.searchsorted(of, np.arange(len(lengths))), np.searchsorted(of, np.arange(len(lengths)), "right")
+        number = np.arange(len(heads)) - first[of]
+        on = (number >= second[of]) & ((number - second[of]) % stride == 0) & (past[of] - first[of] - number > OVERLAP)
+        begin = np.flatnonzero((number == 0) | on)
+        chunk = of[begin]
+        stop = begin + np.where(number[begin] == 0, second[chunk], stride) + OVERLAP
+        low = heads[begin]
+        high = np.where(stop < past[chunk], np.append(heads, 0)[np.minimum(stop, len(heads))], ends[chunk])
+        window, at, symbol = (np.concatenate(x) for x in zip(*self._many(raw, low, high - low)))
+        at = at + low[window]
+        order = np.lexsort((at, window))
+        window, at, symbol = window[order], at[order], symbol[order]
+        seam = np.append(chunk[1:] == chunk[:-1], False)  # whether a window has a next one
+        key = at * (1 << 32) + symbol + 2
+        left = seam[window] & (at >= np.append(low[1:], 0)[window])
+        right = np.append(False, seam[:-1])[window] & (at < np.append(0, high[:-1])[window])
+        _, _, shared = np.intersect1d(key[left], key[right], assume_unique=True, return_indices=True)
+        shared = np.flatnonzero(right)[shared]
+        join = np.full(len(low), len(raw))
+        np.minimum.at(join, window[shared], at[shared])
+        inner = np.append(False, seam[:-1])
+        whole = np.ones(len(lengths), bool)
+        whole[chunk[inner & (join == len(raw))]] = False
+        join[~inner] = low[~inner]
+        upto = np.where(seam, np.append(join[1:], 0), ends[chunk])
+        kept = (at >= join[window]) & (at < upto[window]) & whole[chunk[window]]
+        after = np.full(len(lengths), len(raw))
+        lead = np.flatnonzero(left & ~inner[window])
+        np.minimum.at(after, chunk[window[lead]], at[lead])
+        again = np.searchsorted(heads, after) - first
+        of = chunk[window[kept]]
+        return of, at[kept] - (ends - lengths)[of], symbol[kept], whole, again
+
+    def _parts(self, raw: np.ndarray) -> np.ndarray:
+        """Where a chunk comes apart: the bounds that no arc of its lattice crosses."""
+        begins, _ = self._lattice(np.append(raw.astype(np.int16), PAD)[:, None])
+        over = np.zeros(len(raw) + 2, np.int64)
+        for length, f in enumerate(begins):
+            np.add.at(over, f + 1, 1)
+            np.add.at(over, f + length, -1)
+        return np.flatnonzero(np.cumsum(over)[: len(raw) + 1] == 0)
+
+    def _long(self, raw: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(chunk, first byte, symbol) of the pieces of chunks of over LONG bytes."""
+        rest = np.arange(len(starts))
+        if self.merges:
+            for stride in STRIDES:
+                second = np.full(len(rest), stride)
+                for _ in range(2):  # then from where the first window has a piece begin
+                    if len(rest):
+                        chunk, at, symbol, whole, second = self._windowed(raw, starts[rest], lengths[rest], stride, second)
+                        yield rest[chunk], at, symbol
+                        rest, second = rest[~whole], second[~whole]
+            for i in rest:
+                at, symbol = self._alone(raw[starts[i] : starts[i] + lengths[i]])
+                yield np.full(len(at), i), at, symbol
+            return
+        bounds = [self._parts(raw[a : a + n]) for a, n in zip(starts, lengths)]
+        of = np.repeat(rest, [len(b) - 1 for b in bounds])
+        low, high = (np.concatenate(x) for x in ([b[:-1] for b in bounds], [b[1:] for b in bounds]))
+        short = np.flatnonzero(high - low <= LONG)
+        for part, at, symbol in self._many(raw, (starts[of] + low)[short], (high - low)[short]):
+            yield of[short[part]], at + low[short[part]], symbol
+        for k in np.flatnonzero(high - low > LONG):
+            begin = starts[of[k]] + low[k]
+            at, symbol = self._alone(raw[begin : begin + high[k] - low[k]])
+            yield np.full(len(at), of[k]), at + low[k], symbol
+
     def _paths(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all chunks, and their bounds."""
-        lengths = np.diff(offsets)
-        short = np.flatnonzero(lengths <= LONG)
-        short = short[np.argsort(-lengths[short], kind="stable")]
-        found = []
-        for low in range(0, len(short), TOGETHER):
-            some = short[low : low + TOGETHER]
-            chunk, at, symbol = self._together(raw, offsets[some], lengths[some])
-            found.append((some[chunk], at, symbol))
-        for i in np.flatnonzero(lengths > LONG):
-            at, symbol = self._alone(raw[offsets[i] : offsets[i + 1]])
-            found.append((np.full(len(at), i), at, symbol))
+        lengths, found = np.diff(offsets), []
+        for walk, some in ((self._many, np.flatnonzero(lengths <= LONG)), (self._long, np.flatnonzero(lengths > LONG))):
+            if len(some):
+                found += [(some[chunk], at, symbol) for chunk, at, symbol in walk(raw, offsets[some], lengths[some])]
         if not found:
             return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         chunk, at, symbol = (np.concatenate(x) for x in zip(*found))
-        order = np.argsort(chunk, kind="stable")
+        order = np.lexsort((at, chunk))
         chunk, at, symbol = chunk[order], at[order] + offsets[chunk[order]], symbol[order]
         piece = (symbol >= 0) & (symbol < self.n_ids)
         if len(self.byte_ids):

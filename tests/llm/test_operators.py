@@ -529,6 +529,46 @@ def test_written_models_match_the_library(kind, fallback, tidy, rule, own):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t), t
 
 
+@pytest.fixture
+def walked(monkeypatch):
+    """Lengths of the chunks that are walked byte by byte."""
+    lengths, alone = [], sentencepiece_fst.Transducer._alone
+    monkeypatch.setattr(sentencepiece_fst.Transducer, "_alone", lambda self, raw: lengths.append(len(raw)) or alone(self, raw))
+    return lengths
+
+
+def test_long_chunks_without_a_blank_match_the_library(walked):
+    import sentencepiece
+
+    path = sentencepiece_fst.default_model()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    machine = sentencepiece_fst.compile_model(open(path, "rb").read())
+    rng = np.random.default_rng(5)
+    letters = "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 1_000_000))
+    chinese = "".join(map(chr, rng.integers(0x4E00, 0x9FA5, 333_000)))
+    runs = [p * (20_000 // len(p)) for p in ["a", "=", "ab", "abc", "abcde", "abcdefg", "abcdefghijk", "http://www.example.com/", "\U0001f600é"]]
+    few = ["".join(rng.choice(list(some), n)) for some in ("ab", "01", "aab中文", "=-_", "é\U0001f600日x") for n in range(60, 2000, 97)]
+    for t in [letters, chinese, *runs, *few]:
+        assert machine.encode(t) == library.encode(t), t[:80]
+    assert not walked
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_long_chunks_of_written_models_match_the_library(kind, walked):
+    import pyarrow as pa
+    import sentencepiece
+
+    raw = written_model(_written_pieces(kind), kind, True, False)
+    library = sentencepiece.SentencePieceProcessor(model_proto=raw)
+    machine = sentencepiece_fst.compile_model(raw)
+    rng = np.random.default_rng(6)
+    texts = ["".join(rng.choice(list("abcdefgé日zZ"), n)) for n in range(50, 4000, 61)] + ["ab" * 2500, "a" * 5000, "日" * 3000, "abcdefg" * 700]
+    ids, bounds = machine.encode_texts(pa.array(texts))
+    for i, t in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(t), t[:80]
+    assert kind == 1 or not walked
+
+
 def test_links_are_what_merging_gives():
     """The seam rule against merging the characters of both pieces."""
     pieces = _written_pieces(2)
