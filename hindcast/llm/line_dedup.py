@@ -6,7 +6,7 @@ corpus (a table of 2^16 hashed counts, so its size is fixed), and the first
 n - ceil(0.8 n) + 1 words of each set, its prefix, are joined: two sets of Jaccard
 similarity 0.8 share a prefix word.  Length and position of the shared word and a
 128-bit parity signature of the words bound the overlap from above inside the join
-condition; what passes is verified on the words themselves.  A line goes if an
+condition (64 bits in shorter sets); what passes is verified on the words themselves.  A line goes if an
 earlier line of the corpus, kept or not, equals or resembles it.
 
 Families of many variants would give all pairs.  So each set is first checked
@@ -35,6 +35,9 @@ LAST = 2**63 - 1  # null ids are ordered below it
 #: Cells in which groups of sets with common words are counted, and the parts that those
 #: of a cell with over 1/512 of all sets are cut into, each with a first of its own.
 GROUP_CELLS, HOT_SHARE, PARTS = 4096, 512, 64
+#: Words of a set from which on a second signature is worth its making: fewer than 21 words
+#: may differ in shorter ones, where 64 bits tell strangers well.
+LONG_SET = 96
 SOLID = r"[^\x20\x09-\x0D]"
 
 
@@ -84,12 +87,14 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     few = F.when(F.size("h") < 4, F.array_join(F.array_sort(F.array_distinct(words())), " "))
     ranked = hashed.select("d", "e", "l", few.alias("few"), F.sort_array(F.transform("h", rank)).alias("t"))
     n = F.size("t")
-    # bit 20 says in which of the two signatures a word flips a bit, those from 34 on which one (a shift takes six of them)
-    side = {"sig": lambda h: h, "sig2": F.bitwise_not}
-    flip = lambda c: lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", F.shiftright(side[c](h), 20).bitwiseAND(F.lit(1).cast("long")), F.shiftright(h, 34).cast("int")))
+    # a word flips the bit of sig that those from 34 on name (a shift takes six of them); those with bit 20, of long sets, also that of sig2
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    flip = lambda on: lambda a, h: a.bitwiseXOR(F.call_function("shiftleft", on(h), F.shiftright(h, 34).cast("int")))
+    sig = F.aggregate("t", none, flip(lambda h: one))
+    sig2 = F.when(n >= LONG_SET, F.aggregate("t", none, flip(lambda h: F.shiftright(h, 20).bitwiseAND(one)))).otherwise(none)
     some = ranked.select(
         *[F.when(F.col("few").isNotNull(), F.xxhash64(F.lit(i), "few")).otherwise(F.xxhash64(F.lit(i), "t")).alias(f"k{i}") for i in range(2)],
-        "d", "e", "l", n.alias("n"), *[F.aggregate("t", F.lit(0).cast("long"), flip(c)).alias(c) for c in side],
+        "d", "e", "l", n.alias("n"), sig.alias("sig"), sig2.alias("sig2"),
         *[F.xxhash64(F.slice("t", F.greatest(n - 9 * (i + 1), F.lit(1)), F.lit(9)), F.lit(i)).alias(f"b{i}") for i in range(3)],
         F.transform(F.slice("t", 1, n - F.ceil(n * 4 / 5).cast("int") + 1), lambda t: t.bitwiseAND(F.lit(0x7FFFFFFF)).cast("int")).alias("prefix"),
     )
@@ -102,7 +107,9 @@ def _may_resemble(nx: Column, ny: Column, x: str = "x", y: str = "y") -> Column:
     total = nx + ny
     apart = total - 2 * F.floor((total * 4 + 8) / 9)  # words that one of the two alone may have
     near = (nx * 5 >= ny * 4) & (ny * 5 >= nx * 4)
-    flips = sum(F.bit_count(F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}"))) for c in ("sig", "sig2"))
+    one, two = (F.col(f"{x}.{c}").bitwiseXOR(F.col(f"{y}.{c}")) for c in ("sig", "sig2"))
+    # sig2 is a part of sig: with it, the bits that each part flips count apart
+    flips = F.when((nx >= LONG_SET) & (ny >= LONG_SET), F.bit_count(two) + F.bit_count(one.bitwiseXOR(two))).otherwise(F.bit_count(one))
     return near & (apart > 0) & (flips <= apart)
 
 

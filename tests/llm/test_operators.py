@@ -308,6 +308,23 @@ def test_line_dedup_of_a_family(spark):
     assert {r.doc_id for r in out if r.n_removed == 0} == want
 
 
+def test_line_dedup_on_both_sides_of_long_sets(spark):
+    """Sets of one and of two signatures meet, a word more or less than the bound and near it."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for family in range(40):
+        size = line_dedup.LONG_SET + int(rng.integers(-8, 9))
+        base = [f"f{family}w{i}" for i in range(size)]
+        for _ in range(5):
+            line = [w for w in base if rng.random() > 0.06] + [f"n{rng.integers(10**9)}" for _ in range(rng.integers(0, 9))]
+            rows.append((len(rows), " ".join(line)))
+    sets = [set(t.split()) for _, t in rows]
+    want = {i for i in range(len(rows)) if not any(len(sets[i] & s) / len(sets[i] | s) >= 0.8 for s in sets[:i])}
+    assert 40 < len(want) < 180
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id for r in out if r.n_removed == 0} == want
+
+
 def test_line_dedup_of_null_and_shared_ids(spark):
     """Every row stands for itself: nothing unique goes, later copies do."""
     line = " ".join(f"u{i}" for i in range(10))
