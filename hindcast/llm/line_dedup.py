@@ -10,8 +10,9 @@ condition (64 bits in shorter sets); what passes is verified on the words themse
 earlier line of the corpus, kept or not, equals or resembles it.
 
 Families of many variants would give all pairs.  So each set is first checked
-against the earliest that shares a group of its commonest words, a linear number of
-pairs; only sets that this leaves are joined with all.  Hot groups are cut into parts.
+against the earliest that shares a group of its commonest words and against earlier
+ones picked by hash, a linear number of pairs; only sets that this leaves are joined
+with all.  Hot groups are cut into parts.
 
 A row is known by its id and a hash of its text (of a null id by 104 bits of such
 hashes), a set by 128 bits: of its words where it has fewer than four, else of 56
@@ -35,6 +36,9 @@ LAST = 2**63 - 1  # null ids are ordered below it
 #: Cells in which groups of sets with common words are counted, and the parts that those
 #: of a cell with over 1/512 of all sets are cut into, each with a first of its own.
 GROUP_CELLS, HOT_SHARE, PARTS = 4096, 512, 64
+#: Earlier sets of a group, besides its first, that each set is checked against: where variants
+#: resemble each other more often than their first, one of these is likely near.
+PICKS = 3
 #: Words of a set from which on a second signature is worth its making: fewer than 21 words
 #: may differ in shorter ones, where 64 bits tell strangers well.
 LONG_SET = 96
@@ -153,9 +157,10 @@ def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     held = {r.cell: r.n for r in grouped.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()}
     hot = [c for c, n in held.items() if n * HOT_SHARE > sum(held.values())]
     grouped = grouped.withColumn("part", F.when(cell.isin(hot), F.pmod(F.xxhash64(*LINE), F.lit(PARTS))).otherwise(F.lit(0)))
-    w = Window.partitionBy("b", "part").orderBy(*LINE).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = grouped.withColumn("y", F.first(line).over(w)).select(line.alias("x"), "y")
-    near = led.where(F.struct(*[F.col(f"x.{c}") for c in LINE]) != F.struct(*[F.col(f"y.{c}") for c in LINE])).where(_may_resemble(F.col("x.n"), F.col("y.n")))
+    earlier = Window.partitionBy("b", "part").orderBy(*LINE).rowsBetween(Window.unboundedPreceding, -1)
+    picked = [F.min_by(line, F.xxhash64(F.lit(i), *LINE)).over(earlier) for i in range(PICKS)]  # a running least hash falls on each earlier set alike
+    led = grouped.select(line.alias("x"), F.array(F.first(line).over(earlier), *picked).alias("ys")).where("ys[0] is not null")
+    near = led.select("x", F.explode(F.array_distinct("ys")).alias("y")).where(_may_resemble(F.col("x.n"), F.col("y.n")))
     gone = materialise(_verified(near.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
 
     flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), LINE, "left")
