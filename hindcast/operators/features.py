@@ -70,9 +70,11 @@ def realized_vol(n: int, annual: int) -> Column:
     return full(F.stddev_samp("log_ret"), F.col("log_ret"), n) * F.sqrt(F.lit(float(annual))) * 100
 
 
-def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "close") -> DataFrame:
+def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "close", warm: bool = True) -> DataFrame:
     """``bars`` with ``rsi``: Wilder's index by an exact blocked linear recurrence.
 
+    Without ``warm`` it starts at the second bar and is null where nothing has been lost.
+
     Inside a block of positions the decayed sum is a windowed sum of u*q^-k times
     q^k; the block ends, one in 512 rows, are carried by a fold over a short array.
     """
@@ -97,7 +99,8 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
     df = df.join(ends, ["symbol", "_block"])
     decay = F.pow(F.lit(q), F.col("_k") + 1)
     gain, loss = F.col("_lg") + F.col("_carry.g") * decay, F.col("_ll") + F.col("_carry.l") * decay
-    rsi = F.when(F.col("pos") < n, F.lit(None)).when((loss == 0) & (gain == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
+    cold = 100 - 100 / (1 + F.try_divide(gain, F.nullif(loss, F.lit(0.0))))
+    rsi = cold if not warm else F.when(F.col("pos") < n, F.lit(None)).when((loss == 0) & (gain == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
     return df.withColumn("rsi", rsi).drop("_d", "_g", "_l", "_block", "_k", "_lg", "_ll", "_carry")
 
 

@@ -190,6 +190,29 @@ def search_features(grid: DataFrame) -> DataFrame:
     return df
 
 
+LONG_SEARCHED = (
+    "mom_63", "mom_126", "reversal_63", "reversal_126", "vol_63", "sma_dist_63", "sma_dist_200", "vol_ratio", "drawdown_252", "dollar_volume",
+)
+
+
+def long_search_features(grid: DataFrame) -> DataFrame:
+    """The search features of longer windows, over the densified grid like :func:`search_features`."""
+    w = Window.partitionBy("symbol").orderBy("g")
+
+    def full(agg, c, n):
+        win = w.rowsBetween(-(n - 1), 0)
+        return F.when(F.count(c).over(win) >= n, agg(c).over(win))
+
+    close = F.col("close")
+    change = lambda n: F.try_divide(close, F.lag("close", n).over(w)) - 1
+    df = grid.withColumn("ret", change(1)).withColumns({f"mom_{n}": change(n) for n in (63, 126)})
+    return df.withColumns({
+        **{f"reversal_{n}": -F.col(f"mom_{n}") for n in (63, 126)}, "vol_63": full(F.stddev_samp, "ret", 63), **{f"sma_dist_{n}": close / full(F.avg, "close", n) - 1 for n in (63, 200)},
+        "vol_ratio": F.try_divide(full(F.stddev_samp, "ret", 5), F.nullif(full(F.stddev_samp, "ret", 21), F.lit(0.0))) - 1,
+        "drawdown_252": close / full(F.max, "close", 252) - 1, "dollar_volume": F.log1p(close * F.nullif(full(F.avg, "volume", 20), F.lit(0.0))),
+    })
+
+
 SEARCHED = (
     *(f"{k}_{n}" for k in ("mom", "reversal") for n in (1, 2, 3, 5, 10, 21)), "vol_5", "vol_21", "sma_dist_5", "sma_dist_21", "sma_dist_50", "gap", "intraday_position",
     "intraday_move", "true_range", "high_21", "low_21", "volume_ratio", "price_level",

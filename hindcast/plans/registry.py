@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
-MODULES = ("bars", "records", "panels", "forecasts", "boards", "texts", "files", "streams", "gates", "audits", "analyses")
+MODULES = ("bars", "records", "panels", "forecasts", "boards", "texts", "files", "streams", "gates", "audits", "analyses", "loads")
 
 
 def query(sql: str | None = None):
