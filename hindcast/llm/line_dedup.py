@@ -65,16 +65,17 @@ def _cell(hashed: Column) -> Column:
 
 
 def _rarity(docs: DataFrame, text: str) -> Column:
-    """array<long>: a class (3 a doubling), in the highest byte, for each of the hashed counts of all words.
+    """array<byte>: a class (3 a doubling) for each of the hashed counts of all words.
 
     RARITY_CELLS numbers, whatever the corpus, which the driver holds as a constant of the next job.
+    Spark prints it in every event of that job's plan, so it is kept short.
     """
     words = docs.select(F.explode(F.split(single_blanks(F.col(text)), " ")).alias("w")).where("w <> ''")
     counts = words.groupBy(_cell(_word_hash(F.col("w"))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     classes = ["0"] * RARITY_CELLS
     for r in counts.select("cell", F.least(F.floor(3 * F.log2(F.col("n") + 1)), F.lit(126)).cast("int").alias("c")).toLocalIterator():
-        classes[r.cell] = str(r.c << 56)
-    return F.split(F.lit(",".join(classes)), ",").cast("array<bigint>")
+        classes[r.cell] = str(r.c)
+    return F.split(F.lit(",".join(classes)), ",").cast("array<tinyint>")
 
 
 def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -87,7 +88,7 @@ def _sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     words = lambda: ascii_words(F.col("line"), inside=True)
     hashed = lines.select("d", "e", "l", "line", F.array_distinct(F.transform(words(), _word_hash)).alias("h"))
     # no element is null, which Spark sorts as plain numbers once it is said
-    rank = lambda h: F.coalesce(F.get(rarity, _cell(h)).bitwiseOR(h), F.lit(0).cast("long"))
+    rank = lambda h: F.coalesce(F.shiftleft(F.get(rarity, _cell(h)).cast("long"), 56).bitwiseOR(h), F.lit(0).cast("long"))
     few = F.when(F.size("h") < 4, F.array_join(F.array_sort(F.array_distinct(words())), " "))
     ranked = hashed.select("d", "e", "l", few.alias("few"), F.sort_array(F.transform("h", rank)).alias("t"))
     n = F.size("t")
@@ -178,7 +179,7 @@ def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     # two-sided, so that both sides stay one exchange
     open_ = F.col("x.packed").bitwiseAND(F.lit(1)) * (n["y"] + 1) == 0
     joined = x.join(y, (F.col("x.token") == F.col("y.token")) & later & open_ & placed & _may_resemble(n["x"], n["y"]))
-    more = _verified(joined.select(*_ends("x", "y")), docs, doc_id, text)
+    more = materialise(_verified(joined.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
     return sets.select(*LINE).join(gone.unionByName(more).hint("merge"), LINE, "left_anti")
 
 

@@ -293,6 +293,12 @@ def test_line_dedup(docs, empty):
     assert line_dedup.deduped_documents(docs).columns == docs.columns
 
 
+def test_line_dedup_plans_stay_small(spark):
+    """The rarity table is printed in every event of a plan, which the driver keeps."""
+    docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(100_000)))], "doc_id long, text string")
+    assert len(line_dedup._sets(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()) < 400_000
+
+
 def test_line_dedup_of_a_family(spark):
     rng = np.random.default_rng(2)
     base = [f"t{i}" for i in range(30)]
