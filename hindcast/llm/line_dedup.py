@@ -4,7 +4,9 @@ A line is the set of its words.  Lines of one set are one: the earliest, by
 (doc_id, line number), stands for it.  Words are ordered by rarity over the whole
 corpus (a table of 2^16 hashed counts, so its size is fixed), and the first
 n - ceil(0.8 n) + 1 words of each set, its prefix, are joined: two sets of Jaccard
-similarity 0.8 share a prefix word.  Length and position of the shared word and a
+similarity 0.8 share a prefix word, which is among the first n - ceil(8 n / 9) + 1 of the
+smaller.  It also meets only sets of up to 1.25 times its size, so the join's key holds a
+class of sizes besides the word.  Length and position of the shared word and a
 128-bit parity signature of the words bound the overlap from above inside the join
 condition (64 bits in shorter sets); what passes is verified on the words themselves.  A line goes if an
 earlier line of the corpus, kept or not, equals or resembles it.
@@ -26,6 +28,8 @@ result; other columns stay as they are.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,6 +46,8 @@ PICKS = 3
 #: Words of a set from which on a second signature is worth its making: fewer than 21 words
 #: may differ in shorter ones, where 64 bits tell strangers well.
 LONG_SET = 96
+#: A class of sizes spans at most this ratio: a set meets at most two classes.
+SIZE_RATIO = 1.25**2
 SOLID = r"[^\x20\x09-\x0D]"
 
 
@@ -147,9 +153,30 @@ def _verified(pairs: DataFrame, docs: DataFrame, doc_id: str, text: str) -> Data
     return both.where(shared * 9 >= (F.size("words") + F.size("others")) * 4).select(*LINE).distinct()
 
 
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n) / math.log(SIZE_RATIO)).cast("int")
+
+
+def _postings(flagged: DataFrame) -> DataFrame:
+    """key, id, packed, sig, sig2: each set under its words and class of sizes, and, for
+    larger sets to find it, under the first of its words and the next class (up).
+
+    packed is n | position | out | up in one number, as these rows are most of what is
+    shuffled; key is a hash of word and class.
+    """
+    n, own = F.col("n"), _size_class(F.col("n"))
+    sets = flagged.select("id", "n", "sig", "sig2", "out", "prefix", F.explode(F.sequence(own, _size_class(F.floor(n * 5 / 4)))).alias("size"))
+    up = F.col("size") > own
+    prefix = F.when(up, F.slice("prefix", 1, n - F.floor((8 * n + 8) / 9).cast("int") + 1)).otherwise(F.col("prefix"))
+    words = sets.select("id", "n", "sig", "sig2", "out", "size", up.cast("int").alias("up"), F.posexplode(prefix).alias("p", "token"))
+    packed = ((n.cast("long") * (1 << 24) + F.col("p")) * 2 + F.col("out")) * 2 + F.col("up")
+    return words.select(F.hash("token", "size").alias("key"), "id", packed.alias("packed"), "sig", "sig2")
+
+
 def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(d, e, l): row and line number of every line with words that stays."""
-    sets = materialise(_sets(docs, doc_id, text), "line-sets", hashes=True)
+    sets = _sets(docs, doc_id, text).withColumn("id", F.monotonically_increasing_id())
+    sets = materialise(sets, "line-sets", hashes=True)
     able = sets.where("n >= 4")  # smaller sets resemble only themselves
 
     line = F.struct(*LINE, "n", "sig", "sig2")
@@ -164,22 +191,25 @@ def first_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     near = led.select("x", F.explode(F.array_distinct("ys")).alias("y")).where(_may_resemble(F.col("x.n"), F.col("y.n")))
     gone = materialise(_verified(near.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
 
-    flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), LINE, "left")
-    # packed, as these rows are most of what is shuffled: n | position | out in one number
-    packed = (F.col("n").cast("long") * (1 << 24) + F.col("p")) * 2 + F.coalesce("out", F.lit(0))
-    postings = flagged.select(*LINE, "n", "sig", "sig2", "out", F.posexplode("prefix").alias("p", "token")).select("token", *LINE, packed.alias("packed"), "sig", "sig2")
-    x, y = postings.alias("x"), postings.alias("y")
-    n = {c: F.shiftright(F.col(f"{c}.packed"), 25).cast("int") for c in "xy"}
-    p = {c: F.shiftright(F.col(f"{c}.packed"), 1).bitwiseAND(F.lit((1 << 24) - 1)).cast("int") for c in "xy"}
-    same = lambda c: F.col(f"x.{c}") == F.col(f"y.{c}")
-    after = lambda c: F.col(f"x.{c}") > F.col(f"y.{c}")
-    later = after("d") | (same("d") & (after("e") | (same("e") & after("l"))))
-    rest = F.least(n["x"] - p["x"], n["y"] - p["y"])  # with the shared word
-    placed = rest >= F.floor(((n["x"] + n["y"]) * 4 + 8) / 9)
+    flagged = able.join(gone.withColumn("out", F.lit(1)).hint("merge"), LINE, "left").withColumn("out", F.coalesce("out", F.lit(0)))
+    postings = _postings(flagged)
+    x, y = postings.alias("x"), postings.alias("y")  # the larger and the smaller set
+    n = {c: F.shiftright(F.col(f"{c}.packed"), 26).cast("int") for c in "xy"}
+    p = {c: F.shiftright(F.col(f"{c}.packed"), 2).bitwiseAND(F.lit((1 << 24) - 1)).cast("int") for c in "xy"}
+    out = {c: F.shiftright(F.col(f"{c}.packed"), 1).bitwiseAND(F.lit(1)) for c in "xy"}
     # two-sided, so that both sides stay one exchange
-    open_ = F.col("x.packed").bitwiseAND(F.lit(1)) * (n["y"] + 1) == 0
-    joined = x.join(y, (F.col("x.token") == F.col("y.token")) & later & open_ & placed & _may_resemble(n["x"], n["y"]))
-    more = materialise(_verified(joined.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
+    own = F.col("x.packed").bitwiseAND(F.lit(1)) * (n["y"] + 1) == 0
+    larger = (n["x"] > n["y"]) | ((n["x"] == n["y"]) & (F.col("x.id") > F.col("y.id")))
+    placed = F.least(n["x"] - p["x"], n["y"] - p["y"]) >= F.floor(((n["x"] + n["y"]) * 4 + 8) / 9)  # with the shared word
+    open_ = out["x"] * out["y"] == 0
+    joined = x.join(y, (F.col("x.key") == F.col("y.key")) & larger & own & placed & open_ & _may_resemble(n["x"], n["y"]))
+    pairs = joined.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), out["x"].alias("out_a"), out["y"].alias("out_b")).distinct()
+    ends = sets.select("id", F.struct(*LINE).alias("line")).hint("merge")
+    for c in "ab":
+        pairs = pairs.join(ends.select(F.col("id").alias(c), F.struct("line.*", F.lit(c).alias("side")).alias(f"line_{c}")), c)
+    pairs = pairs.withColumn("x", F.greatest("line_a", "line_b")).withColumn("y", F.least("line_a", "line_b"))
+    pairs = pairs.where(F.when(F.col("x.side") == "a", F.col("out_a")).otherwise(F.col("out_b")) == 0)  # the later is still in
+    more = materialise(_verified(pairs.select(*_ends("x", "y")), docs, doc_id, text), "line-gone")
     return sets.select(*LINE).join(gone.unionByName(more).hint("merge"), LINE, "left_anti")
 
 

@@ -299,6 +299,19 @@ def test_line_dedup_plans_stay_small(spark):
     assert len(line_dedup._sets(docs, "doc_id", "text")._jdf.queryExecution().executedPlan().toString()) < 400_000
 
 
+def test_line_dedup_joins_sets_of_like_size(spark):
+    """Strangers that share a prefix word but differ in size meet under no key; true pairs do."""
+    from pyspark.sql import functions as F
+
+    rows = [(i, n, list(range(n - -(-4 * n // 5) + 1))) for i, n in enumerate(range(4, 400))]
+    sets = spark.createDataFrame(rows, "id long, n int, prefix array<int>").selectExpr("*", "0L sig", "0L sig2", "0 out")
+    keys = line_dedup._postings(sets).select("key", F.shiftright("packed", 26).alias("n"), F.col("packed").bitwiseAND(F.lit(1)).alias("up"))
+    x, y = keys.where("up = 0").alias("x"), keys.alias("y")
+    met = {(r[0], r[1]) for r in x.join(y, "key").select("x.n", "y.n").distinct().collect()}
+    assert all((a, b) in met for b in range(4, 400) for a in range(b, min(399, b * 5 // 4) + 1))
+    assert not any(a > 2 * b or b > 2 * a for a, b in met)
+
+
 def test_line_dedup_of_a_family(spark):
     rng = np.random.default_rng(2)
     base = [f"t{i}" for i in range(30)]
