@@ -49,9 +49,11 @@ from hindcast.llm._text import buffers, slices
 
 BLANK = "▁"
 #: Bytes of texts that are composed together, bytes of chunks that advance together, and the longest of them.
-SLICE = 1 << 22
-CELLS = 1 << 21
+SLICE = 1 << 20
+CELLS = 1 << 19
 LONG = 64
+#: Ranges that are gathered at once: what indexes them takes eight bytes an item.
+RANGES = 1 << 16
 #: Characters from window to window in longer chunks, and those that neighbours share.  A run
 #: that repeats every 2 to 7 characters gives all windows of one of the strides the same phase.
 STRIDES, OVERLAP = (240, 1680), 48
@@ -127,8 +129,16 @@ def _spread(column: np.ndarray) -> np.ndarray:
 
 def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """Indexes of the ranges [start, start + count), one after the other."""
-    ends = np.cumsum(counts)
-    return np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - counts - starts, counts)
+    out = np.repeat(starts - np.cumsum(counts) + counts, counts)
+    out += np.arange(len(out))
+    return out
+
+
+def _gathered(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> Iterator[np.ndarray]:
+    """The values in the ranges [start, start + count), RANGES of them at a time."""
+    for low in range(0, len(counts), RANGES):
+        some = slice(low, low + RANGES)
+        yield values[_ragged(starts[some], counts[some])]
 
 
 def _widths(raw: np.ndarray) -> np.ndarray:
@@ -476,7 +486,7 @@ class Transducer:
         _, at, data = words.buffers()
         ids, bounds = self._paths(np.frombuffer(data, np.uint8), np.frombuffer(at, np.int64, len(words) + 1))
         counts = np.diff(bounds)[of]
-        flat = ids[_ragged(bounds[:-1][of], counts)]
+        flat = np.concatenate(list(_gathered(ids, bounds[:-1][of], counts)))
         ends = np.concatenate([[0], np.cumsum(counts)])[np.searchsorted(cuts, offsets)]
         if not len(self.byte_ids):  # neighbouring unknown pieces are one
             again = np.zeros(len(flat), bool)
@@ -514,7 +524,7 @@ class Transducer:
     def decode_texts(self, ids: np.ndarray, bounds: np.ndarray) -> list[str]:
         """The texts that ranges of ids spell; bytes that are no UTF-8 become U+FFFD."""
         counts = np.diff(self.decoded_at)[ids]
-        raw = self.decoded[_ragged(self.decoded_at[ids], counts)].tobytes()
+        raw = b"".join(part.tobytes() for part in _gathered(self.decoded, self.decoded_at[ids], counts))
         ends = np.concatenate([[0], np.cumsum(counts)])[bounds].tolist()
         skip = self.dummy_prefix
         return [raw[a + (skip and raw[a:b][:1] == b" ") : b].decode("utf-8", "replace") for a, b in zip(ends, ends[1:])]
