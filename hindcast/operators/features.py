@@ -74,13 +74,14 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
     """``bars`` with ``rsi``: Wilder's index by an exact blocked linear recurrence.
 
     Without ``warm`` it starts at the second bar and is null where nothing has been lost.
+    A change within the rounding of the sums that made the prices is none.
 
     Inside a block of positions the decayed sum is a windowed sum of u*q^-k times
     q^k; the block ends, one in 512 rows, are carried by a fold over a short array.
     """
     q, a = 1 - 1 / n, 1 / n
     delta = F.col(price) - F.lag(price).over(by_pos())
-    df = bars.withColumn("_d", delta)
+    df = bars.withColumn("_d", delta).withColumn("_d", F.when(F.abs("_d") <= F.abs(price) * 1e-12, 0.0).otherwise(F.col("_d")))
     weight = F.when(F.col("pos") == 1, 1.0).otherwise(a)
     df = df.withColumns({
         "_g": F.when(F.col("_d").isNotNull(), F.greatest(F.col("_d"), F.lit(0.0)) * weight).otherwise(0.0),

@@ -110,3 +110,11 @@ def test_longer_windows_and_strength_by_loops(spark):
     got = {(r.symbol, r.pos): r.rsi for r in X.wilder_rsi(df.withColumnRenamed("g", "pos"), 5, warm=False).collect()}
     assert got["A", 299] == pytest.approx(100 - 100 / (1 + gain / loss), rel=1e-9)
     assert all(got["UP", i] is None for i in range(4))
+
+
+def test_strength_of_a_change_that_is_only_rounding(spark):
+    less, more = math.nextafter(100.0, 0.0), math.nextafter(100.0, 200.0)
+    rows = [("FLAT", 0, 100.0), ("FLAT", 1, less), ("FLAT", 2, 101.0), ("FALL", 0, 100.0), ("FALL", 1, more), ("FALL", 2, 99.0)]
+    got = {(r.symbol, r.pos): r.rsi for r in X.wilder_rsi(spark.createDataFrame(rows, "symbol string, pos int, close double"), 5, warm=False).collect()}
+    assert [got["FLAT", i] for i in range(3)] == [None, None, None]
+    assert [got["FALL", i] for i in range(3)] == [None, None, 0.0]
