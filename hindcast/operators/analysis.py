@@ -3,15 +3,13 @@
 A cell is a symbol and the position of its newest known session.  Its audit is a grid of
 earlier anchors: older ones tune the weight profile, newer tuning ones calibrate the
 interval, the newest evaluate, and the cell's own position is the forecast.  Episodes of an
-anchor don't depend on the cell that asks, so the anchors of all cells are matched once
-(:mod:`hindcast.operators.episodes`), and cells read them by equi-joins.  The board, the
+anchor don't depend on the cell that asks, so the anchors of all cells are matched once, each
+to a row a profile (:mod:`hindcast.operators.episodes`), and cells read them by equi-joins.  The board, the
 replay of many dates and a forecast as of one date are the same plan over other cells.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,33 +56,27 @@ def grid(cells: DataFrame, rules: DataFrame) -> DataFrame:
     return df.select(*CELL, F.explode(lists).alias("g")).select(*CELL, "g.kind", F.explode("g.a").alias("anchor"))
 
 
-def match(p: Prepared, anchors: DataFrame, keep: Keep) -> DataFrame:
-    """Weighed episodes of all anchors and profiles, written once; today's carry their gaps."""
-    wanted = anchors.groupBy("symbol", "anchor").agg(F.bool_or(F.col("kind") == "today").alias("detail")).join(p.rules, "symbol")
-    return keep(N.weighed(N.nearest(p.features, wanted)), "episodes")
+def wanted(anchors: DataFrame) -> DataFrame:
+    """The anchors of all cells once; today's are wanted with their episodes."""
+    return anchors.groupBy("symbol", "anchor").agg(F.bool_or(F.col("kind") == "today").alias("detail"))
 
 
-def _at(value: str, q: float) -> Column:
-    return F.coalesce(F.min(F.when(F.col(f"_c_{value}") >= F.col("_all") * q, F.col(value))), F.max(value))
+def _shrunk(horizon: str) -> tuple[Column, Column, Column, Column]:
+    """Effective sample size, Beta parameters and shrunk probability over a horizon."""
+    c = lambda name: F.col(f"{name}_{horizon}")
+    ceiling = F.greatest(F.lit(4.0), c("years") * 1.5)
+    effective = F.greatest(F.lit(1.0), F.least(F.try_divide(F.lit(1.0), c("squares")), ceiling, c("matches").cast("double")))
+    alpha, beta = c("base") * M.PRIOR + c("rate") * effective, (1 - c("base")) * M.PRIOR + (1 - c("rate")) * effective
+    return effective, alpha, beta, alpha / (alpha + beta)
 
 
-def summaries(rows: DataFrame, outcomes: DataFrame, value: str, base: DataFrame) -> DataFrame:
+def summaries(found: DataFrame, horizon: str, *more: Column) -> DataFrame:
     """Per (symbol, anchor, profile) of at least MIN_MATCHES episodes: shrunk probability, its Beta
-    parameters, effective sample size, and weighted quantiles of ``value``."""
-    df = rows.join(outcomes.select("symbol", "pos", F.col(value), F.year("session_date").alias("year")), ["symbol", "pos"]).where(F.col(value).isNotNull())
-    part = Window.partitionBy(*ANCHOR)
-    run = part.orderBy(value, "pos").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumns({f"_c_{value}": F.sum("weight").over(run), "_all": F.sum("weight").over(part)})
-    flat = df.groupBy(*ANCHOR).agg(
-        F.count(F.lit(1)).cast("int").alias("matches"), F.sum(F.col("weight") * F.col("weight")).alias("_w2"), F.sum(F.when(F.col(value) > 0, F.col("weight")).otherwise(0.0)).alias("rate"),
-        F.size(F.collect_set("year")).alias("years"), F.count_if(F.col(value) > 0).alias("wins"), _at(value, 0.2).alias("low"), _at(value, 0.5).alias("median"), _at(value, 0.8).alias("high"),
-        F.max(value).alias("best"), F.min(value).alias("worst"),
-    ).where(F.col("matches") >= M.MIN_MATCHES)
-    ceiling = F.greatest(F.lit(4.0), F.col("years") * 1.5)
-    effective = F.greatest(F.lit(1.0), F.least(1 / F.col("_w2"), ceiling, F.col("matches").cast("double")))
-    flat = flat.join(base, ["symbol", "anchor"]).withColumn("effective_n", effective)
-    flat = flat.withColumns({"alpha": F.col("base") * M.PRIOR + F.col("rate") * F.col("effective_n"), "beta": (1 - F.col("base")) * M.PRIOR + (1 - F.col("rate")) * F.col("effective_n")})
-    return flat.withColumn("p", F.col("alpha") / (F.col("alpha") + F.col("beta"))).drop("_w2")
+    parameters, effective sample size, and weighted quantiles of what followed over a horizon."""
+    rest = [c for c in found.columns if c not in {f"{s}_{h}" for s in N.SUMMARY for h in N.HORIZONS}]
+    names = [s for s in N.SUMMARY if s != "squares"]
+    told = [c.alias(n) for n, c in zip(("effective_n", "alpha", "beta", "p"), _shrunk(horizon))]
+    return found.where(F.col(f"matches_{horizon}") >= M.MIN_MATCHES).select(*rest, *[F.col(f"{s}_{horizon}").alias(s) for s in names], *told, *more)
 
 
 def regime(short: Column, long_: Column, vol_ratio: Column, drawdown: Column) -> tuple[Column, Column, Column, Column]:
@@ -96,15 +88,13 @@ def regime(short: Column, long_: Column, vol_ratio: Column, drawdown: Column) ->
     return trend, volatility, fall, F.concat_ws(" · ", trend, F.concat(volatility, F.lit(" volatility")), fall)
 
 
-def predictions(p: Prepared, episodes: DataFrame, base: DataFrame) -> DataFrame:
+def predictions(found: DataFrame) -> DataFrame:
     """What the matcher said at each anchor under each profile, and what followed."""
-    told = summaries(episodes, p.outcomes, "fwd_h", base)
-    trend, *_ = regime(F.col("trend_short"), F.col("trend_long"), F.col("vol_ratio"), F.col("drawdown"))
-    around = p.features.select("symbol", F.col("pos").alias("anchor"), trend.alias("trend"))
-    after = p.outcomes.select("symbol", F.col("pos").alias("anchor"), F.col("fwd_h").alias("actual"), "entry")
-    df = told.join(around, ["symbol", "anchor"]).join(after, ["symbol", "anchor"])
+    none = F.lit(None).cast("double")
+    trend, *_ = regime(F.col("trend_short"), F.col("trend_long"), none, none)
+    df = summaries(found, "h")
     return df.select(*ANCHOR, "p", "base", (F.col("p") - F.col("base")).alias("edge"), F.round("median", 2).alias("med"), F.round("low", 2).alias("lo"), F.round("high", 2).alias("hi"),
-                     "actual", (F.col("actual") > 0).alias("up"), "matches", "effective_n", "trend", "entry")
+                     "actual", (F.col("actual") > 0).alias("up"), "matches", "effective_n", trend.alias("trend"), "entry")
 
 
 def chosen_profiles(anchors: DataFrame, said: DataFrame) -> DataFrame:
@@ -202,20 +192,19 @@ def strategy(p: Prepared, records: DataFrame) -> DataFrame:
     return span.drop("start", "end").join(ends, CELL)
 
 
-HORIZONS = {"5": "fwd_5", "10": "fwd_10", "h": "fwd_h"}
+SHORTER = ("5", "10")
 
 
-def forecasts(p: Prepared, anchors: DataFrame, episodes: DataFrame, base: DataFrame, profiles: DataFrame, audited: DataFrame, news: DataFrame | None = None) -> DataFrame:
+def forecasts(p: Prepared, anchors: DataFrame, found: DataFrame, profiles: DataFrame, audited: DataFrame, news: DataFrame | None = None) -> DataFrame:
     """One forecast a cell, under its own profile, with the audit's interval.
 
     ``news`` (symbol, score, articles) moves the stated probability by at most five points and
     can only take a direction away.
     """
     today = anchors.where("kind = 'today'").select(*CELL, "anchor").join(profiles, CELL)
-    mine = episodes.join(today.select("symbol", "anchor", "profile").distinct(), ANCHOR, "left_semi")
-    told = M.with_beta_interval(summaries(mine, p.outcomes, "fwd_h", base), "alpha", "beta")
+    mine = found.where("detail").drop("detail", "picks", "gaps", "actual", "entry", "trend_short", "trend_long").join(today.select(*ANCHOR).distinct(), ANCHOR, "left_semi")
+    told = M.with_beta_interval(summaries(mine, "h", *[c for h in SHORTER for c in _told_over(h)]), "alpha", "beta")
     df = today.join(told, ANCHOR).join(audited.select(*CELL, "n", "grade", "skill", "adjustment"), CELL, "left").join(p.rules.select("symbol", "horizon", "sampling", "shape_days"), "symbol")
-    df = df.join(p.bars.select("symbol", F.col("pos").alias("cell"), F.col("session_date").alias("as_of"), F.col("close").alias("price")), CELL)
     df = df.join(news.select("symbol", F.col("score").alias("news"), "articles"), "symbol", "left") if news is not None else df.withColumns({"news": F.lit(0.0), "articles": F.lit(0)})
     df = df.na.fill({"news": 0.0, "articles": 0})
     points = lambda c: S.clamp(c * 100, 1, 99)
@@ -233,46 +222,59 @@ def forecasts(p: Prepared, anchors: DataFrame, episodes: DataFrame, base: DataFr
     score, label, reference = E.agreement(F.col("raw"), F.col("typical"), F.col("news"), F.col("articles"), F.col("lean"))
     df = df.withColumns({"agreement": score, "agreement_label": label, "agreement_reference": reference, "headline": E.headline(F.col("direction"), F.col("lean"))})
     df = df.withColumn("explanation", E.explanation(F.col("direction"), F.col("lean"), F.col("edge"), F.col("typical"), F.col("baseline")))
-    by_horizon = reduce(lambda a, b: a.join(b, ANCHOR, "left"), [_horizon(p, mine, today, k, c) for k, c in HORIZONS.items() if k != "h"])
     kept = ["as_of", "price", "sampling", "horizon", "shape_days", "profile", "matches", "effective_n", "years", "wins", "analog", "baseline", "raw", "combined", "calibrated", "edge", "lean", "direction", "typical", "low", "high", "range_low", "range_high",
             "best", "worst", "probability_low", "probability_high", "evidence", "agreement", "agreement_label", "agreement_reference", "headline", "explanation", "grade", "skill", "n", "news", "articles", "profile_brier", "tuning", "calibration", "evaluation"]
-    return df.join(by_horizon, ANCHOR, "left").select(*CELL, *kept, *[c for k in HORIZONS if k != "h" for c in (f"probability_{k}", f"median_{k}", f"direction_{k}")])
+    return df.select(*CELL, *kept, *[c for k in SHORTER for c in (f"probability_{k}", f"median_{k}", f"direction_{k}")])
 
 
-def _horizon(p: Prepared, episodes: DataFrame, today: DataFrame, name: str, column: str) -> DataFrame:
-    told = summaries(episodes, p.outcomes, column, N.base_rates(p, today, column, F.lit(int(name))))
-    chance, base, median = F.rint(F.col("p") * 100), F.rint(F.col("base") * 100), F.round("median", 2)
-    return told.select(*ANCHOR, (F.col("p") * 100).alias(f"probability_{name}"), median.alias(f"median_{name}"), S.direction(chance - base, median, 4, 0.25).alias(f"direction_{name}"))
+def _told_over(horizon: str) -> list[Column]:
+    """What is said over a shorter horizon, NULL of too few episodes."""
+    *_, p = _shrunk(horizon)
+    enough = F.col(f"matches_{horizon}") >= M.MIN_MATCHES
+    chance, base, median = F.rint(p * 100), F.rint(F.col(f"base_{horizon}") * 100), F.round(f"median_{horizon}", 2)
+    out = {"probability": p * 100, "median": median, "direction": S.direction(chance - base, median, 4, 0.25)}
+    return [F.when(enough, c).alias(f"{name}_{horizon}") for name, c in out.items()]
 
 
 class Analysis:
     """Every table of an analysis of cells; all read the episodes that were matched once."""
 
-    def __init__(self, p: Prepared, cells: DataFrame, keep: Keep, news: DataFrame | None = None):
+    def __init__(self, p: Prepared, cells: DataFrame, keep: Keep, news: DataFrame | None = None, gaps: bool = True):
+        """``gaps``: whether today's episodes carry what made them near, which ``matched`` tells."""
         self.p, self.anchors = p, keep(grid(cells, p.rules), "anchors")
-        self.episodes = match(p, self.anchors, keep)
-        self.base = keep(N.base_rates(p, self.anchors, "fwd_h", F.col("horizon")), "base-rates")
-        self.said = keep(predictions(p, self.episodes, self.base), "predictions")
+        self.found = keep(N.nearest(p, wanted(self.anchors), gaps=gaps), "found")
         self.profiles = keep(chosen_profiles(self.anchors, self.said), "profiles")
         self.audits = keep(audits(self.anchors, self.said, self.profiles, p.rules), "audits")
         self.news = news
 
+    @property
+    def said(self) -> DataFrame:
+        return predictions(self.found)
+
+    @property
+    def episodes(self) -> DataFrame:
+        """The episodes of every anchor; matched anew, as only today's are stored."""
+        return N.weighed(N.nearest(self.p, wanted(self.anchors).withColumn("detail", F.lit(True)), gaps=False))
+
     @property
     def records(self) -> DataFrame:
         return evaluated(self.anchors, self.said, self.profiles)
 
     @property
     def forecasts(self) -> DataFrame:
-        return forecasts(self.p, self.anchors, self.episodes, self.base, self.profiles, self.audits, self.news)
+        return forecasts(self.p, self.anchors, self.found, self.profiles, self.audits, self.news)
 
     @property
     def matched(self) -> DataFrame:
-        """Each cell's own episodes, with their paths and what made them near."""
+        """Each cell's own episodes, with what made them near."""
         today = self.anchors.where("kind = 'today'").select(*CELL, "anchor").join(self.profiles.select(*CELL, "profile"), CELL)
-        rows = today.join(self.episodes, ANCHOR).join(self.p.rules.select("symbol", "shape_days", "horizon"), "symbol")
-        rows = rows.withColumn("reasons", N.reasons(rows, F.col("shape_days"))).drop("gaps")
-        after = self.p.outcomes.select("symbol", "pos", F.col("session_date").alias("date"), "fwd_5", "fwd_10", "fwd_h", "max_upside", "max_drawdown", "path", "low_path", "high_path")
-        return rows.join(after, ["symbol", "pos"])
+        rows = N.weighed(today.select(*ANCHOR).join(self.found.where("detail"), ANCHOR)).join(self.p.rules.select("symbol", "shape_days", "horizon"), "symbol")
+        return rows.withColumns({"cell": F.col("anchor"), "reasons": N.reasons(rows, F.col("shape_days"))}).drop("gaps")
+
+    @property
+    def followed(self) -> DataFrame:
+        """Each cell's own episodes with the paths that followed them."""
+        return N.followed(self.p, self.matched)
 
     @property
     def board(self) -> DataFrame:

@@ -78,6 +78,7 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
 
     Inside a block of positions the decayed sum is a windowed sum of u*q^-k times
     q^k; the block ends, one in 512 rows, are carried by a fold over a short array.
+    All of it are windows of the symbol, so bars that lie by symbol aren't moved.
     """
     q, a = 1 - 1 / n, 1 / n
     delta = F.col(price) - F.lag(price).over(by_pos())
@@ -91,18 +92,18 @@ def wilder_rsi(bars: DataFrame, n: int = 14, block: int = 512, price: str = "clo
     inner = Window.partitionBy("symbol", "_block").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     local = lambda c: F.sum(F.col(c) * F.pow(F.lit(q), -F.col("_k"))).over(inner) * F.pow(F.lit(q), F.col("_k"))
     df = df.withColumns({"_lg": local("_g"), "_ll": local("_l")})
-    ends = df.groupBy("symbol", "_block").agg(F.max_by(F.struct("_lg", "_ll", "_k"), "pos").alias("_e"))
-    before = Window.partitionBy("symbol").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = ends.withColumn("_ends", F.collect_list("_e").over(before))
+    # a block's last row carries it over; rows of earlier blocks are a range of block numbers
+    last = F.coalesce(F.lead("_block").over(by_pos()) != F.col("_block"), F.lit(False))
+    df = df.withColumn("_e", F.when(last, F.struct("_lg", "_ll", "_k")))
+    before = Window.partitionBy("symbol").orderBy("_block").rangeBetween(Window.unboundedPreceding, -1)
     step = lambda acc, e: F.struct((acc["g"] * F.pow(F.lit(q), e["_k"] + 1) + e["_lg"]).alias("g"), (acc["l"] * F.pow(F.lit(q), e["_k"] + 1) + e["_ll"]).alias("l"))
-    carry = F.aggregate("_ends", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("l")), step)
-    ends = ends.select("symbol", "_block", carry.alias("_carry"))
-    df = df.join(ends, ["symbol", "_block"])
+    df = df.withColumn("_ends", F.collect_list("_e").over(before))
+    df = df.withColumn("_carry", F.aggregate("_ends", F.struct(F.lit(0.0).alias("g"), F.lit(0.0).alias("l")), step))
     decay = F.pow(F.lit(q), F.col("_k") + 1)
     gain, loss = F.col("_lg") + F.col("_carry.g") * decay, F.col("_ll") + F.col("_carry.l") * decay
     cold = 100 - 100 / (1 + F.try_divide(gain, F.nullif(loss, F.lit(0.0))))
     rsi = cold if not warm else F.when(F.col("pos") < n, F.lit(None)).when((loss == 0) & (gain == 0), 50.0).when(loss == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(gain, loss)))
-    return df.withColumn("rsi", rsi).drop("_d", "_g", "_l", "_block", "_k", "_lg", "_ll", "_carry")
+    return df.withColumn("rsi", rsi).drop("_d", "_g", "_l", "_block", "_k", "_lg", "_ll", "_e", "_ends", "_carry")
 
 
 def price_features(bars: DataFrame, s: Sampling = TRADING) -> DataFrame:
@@ -135,7 +136,7 @@ def align_context(bars: DataFrame, context: DataFrame) -> DataFrame:
 
     Context rows are lagged by one session and carried forward to the sessions that
     bars have.  Both sides are one row a session whatever the number of symbols, so
-    the ordering window stays small; bars then join it by session.
+    the ordering window stays small; bars then join it by session, by broadcast.
     """
     by_date = Window.orderBy("session_date")
     lagged = context.groupBy("session_date").agg(F.first("market").alias("market"), F.first("vix").alias("vix"))
@@ -146,7 +147,7 @@ def align_context(bars: DataFrame, context: DataFrame) -> DataFrame:
     )
     w = Window.orderBy("session_date", "tag").rowsBetween(Window.unboundedPreceding, 0)
     known = tagged.withColumn("c", F.last("c", ignorenulls=True).over(w)).where("tag = 1").select("session_date", "c.market", "c.vix")
-    return bars.join(known, "session_date", "left")
+    return bars.join(F.broadcast(known), "session_date", "left")
 
 
 def percentile_rank(column: str, n: int, least: int | None = None) -> Column:
@@ -169,17 +170,23 @@ def context_features(aligned: DataFrame, s: Sampling = TRADING) -> DataFrame:
     })
 
 
-def shapes(bars: DataFrame, days: int = 21) -> DataFrame:
-    """(symbol, pos, shape): z-scored log path of the last days+1 closes; a flat path gives zeros.
+def with_shape(bars: DataFrame, days: int = 21) -> DataFrame:
+    """``bars`` with ``shape``: z-scored log path of the last days+1 closes; a flat path gives
+    zeros, a shorter one NULL.
 
     Mean and deviation are window aggregates (a shift of the path leaves its z-scores
     as they are), so each element of the path costs one subtraction and one division.
     """
     w = trailing(days + 1)
-    df = bars.select("symbol", "pos", F.ln("close").alias("_log"))
-    df = df.select("symbol", "pos", F.collect_list("_log").over(w).alias("logs"), F.avg("_log").over(w).alias("mean"), F.stddev_pop("_log").over(w).alias("sd"))
-    z = F.transform("logs", lambda x: F.when(F.col("sd") > 1e-12, (x - F.col("mean")) / F.col("sd")).otherwise(0.0))
-    return df.where(F.size("logs") == days + 1).select("symbol", "pos", z.alias("shape"))
+    df = bars.withColumn("_log", F.ln("close"))
+    df = df.withColumns({"_logs": F.collect_list("_log").over(w), "_mean": F.avg("_log").over(w), "_sd": F.stddev_pop("_log").over(w)})
+    z = F.transform("_logs", lambda x: F.when(F.col("_sd") > 1e-12, (x - F.col("_mean")) / F.col("_sd")).otherwise(0.0))
+    return df.withColumn("shape", F.when(F.size("_logs") == days + 1, z)).drop("_log", "_logs", "_mean", "_sd")
+
+
+def shapes(bars: DataFrame, days: int = 21) -> DataFrame:
+    """(symbol, pos, shape) of the bars that have one."""
+    return with_shape(bars.select("symbol", "pos", "close"), days).where("shape is not null").select("symbol", "pos", "shape")
 
 
 def outcomes(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 21), paths: bool = False) -> DataFrame:
@@ -201,7 +208,15 @@ def outcomes(bars: DataFrame, horizons: tuple[int, ...] = (5, 10, 21), paths: bo
     return df
 
 
+def weekend_share() -> Column:
+    return F.avg((F.weekday("session_date") >= 5).cast("double"))
+
+
+def kept_calendar(weekend_share: Column, bars: Column) -> Column:
+    return F.when((weekend_share >= 0.15) & (bars >= 60), CALENDAR.name).otherwise(TRADING.name)
+
+
 def sampling_of(bars: DataFrame) -> DataFrame:
     """(symbol, bars, weekend_share, sampling): which calendar each symbol keeps."""
-    out = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), F.avg((F.weekday("session_date") >= 5).cast("double")).alias("weekend_share"))
-    return out.withColumn("sampling", F.when((F.col("weekend_share") >= 0.15) & (F.col("bars") >= 60), CALENDAR.name).otherwise(TRADING.name))
+    out = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("bars"), weekend_share().alias("weekend_share"))
+    return out.withColumn("sampling", kept_calendar(F.col("weekend_share"), F.col("bars")))

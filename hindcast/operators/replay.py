@@ -64,11 +64,10 @@ def panel(p: Prepared, which: DataFrame, keep: Keep) -> DataFrame:
 
     A cell without a forecast is there with available = 0.
     """
-    a = Y.Analysis(p, which, keep)
+    a = Y.Analysis(p, which, keep, gaps=False)
     told = keep(a.forecasts, "replay-forecasts")
     placed = Y.board(told).select(*Y.CELL, "side", "tier", "eligible", F.round("score", 6).alias("score"), "expected_move", "adverse_move", "reward_risk")
-    paths = a.matched.select("symbol", "anchor", "pos", "weight", "path", "low_path", "high_path", "max_upside", "max_drawdown").where("path is not null")
-    plans = E.trade_plan(paths, told.select("symbol", F.col("cell").alias("anchor"), "price", "direction"))
+    plans = E.trade_plan(keep(a.followed, "replay-paths"), told.select("symbol", F.col("cell").alias("anchor"), "price", "direction"))
     plans = plans.select("symbol", F.col("anchor").alias("cell"), F.col("action").alias("plan_action"), "stop_pct", "target_pct")
     after = p.outcomes.select("symbol", F.col("pos").alias("cell"), F.col("entry").alias("entry_price"), F.col("fwd_h").alias("fwd_return"), F.col("max_drawdown").alias("min_low_pct"), F.col("max_upside").alias("max_high_pct"))
     short = told.select(*Y.CELL, "lean", "direction", "combined", "edge", "evidence", "agreement", "grade", "skill", "typical", "range_low", "range_high", "profile", F.lit(1).alias("available"))
@@ -139,7 +138,7 @@ def as_of_forecast(bars: DataFrame, context: DataFrame, date: str, keep: Keep, a
     """
     until = F.col("session_date") <= F.lit(date).cast("date")
     p = N.prepare(bars.where(until), context.where(until), keep)
-    told = Y.Analysis(p, Y.latest(p), keep).forecasts
+    told = keep(Y.Analysis(p, Y.latest(p), keep, gaps=False).forecasts, "as-of-forecasts")
     after = (bars if ahead is None else ahead).join(p.rules.select("symbol", "horizon"), "symbol")
     w = Window.partitionBy("symbol").orderBy("session_date")
     n = F.row_number().over(w)

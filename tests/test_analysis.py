@@ -398,3 +398,104 @@ def test_date_grids(spark):
     some = at(P.date_grid(numbered, 20, 21, sample=15))
     assert len(some) == 15 and all(20 <= i < 100 and i % 21 for i in some) and some == at(P.date_grid(numbered, 20, 21, sample=15))
     assert some != at(P.date_grid(numbered, 20, 21, sample=15, seed=8))
+
+
+def test_nothing_wide_is_stored(bars, context, keep):
+    stored = {}
+
+    def watched(df, label):
+        stored[label] = keep(df, label)
+        return stored[label]
+
+    p = N.prepare(bars, context, watched)
+    a = Y.Analysis(p, Y.latest(p), watched)
+    arrays = {(label, f.name) for label, df in stored.items() for f in df.schema if f.dataType.typeName() == "array"}
+    assert arrays == {("found", "picks"), ("found", "gaps")}
+    asked = a.anchors.select("symbol", "anchor").distinct().count()
+    assert a.found.count() <= asked * len(M.PROFILES)
+    assert {r.anchor for r in a.found.where("size(picks) > 0").collect()} == {1699, 1179, 1499}
+    assert max(df.count() for label, df in stored.items() if label not in ("found", "anchors", "context")) <= 16  # a row a symbol and profile at most
+
+
+def test_features_move_bars_once(spark, bars):
+    lying = X.align_context(bars, spark.createDataFrame([(FIRST, 1.0, 2.0)], "session_date date, market double, vix double")).repartition(4, "symbol")
+    numbered = lying.withColumn("pos", F.row_number().over(X.Window.partitionBy("symbol").orderBy("session_date")) - 1)
+    plan = X.outcomes(X.with_shape(X.context_features(X.price_features(numbered))), paths=True)._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") == plan.count("ShuffledHashJoin") == 0
+    assert X.context_features(X.price_features(numbered))._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(symbol") == 1
+
+
+def test_paths_of_episodes_equal_the_outcomes(spark, prepared):
+    rows = [(s, 1179, pos, 0.5) for s in ("AA", "CC") for pos in (0, 400, 1200, 1468, 1469, 1470, 1678, 1679) if pos < (1700 if s == "AA" else 1500)]
+    got = {(r.symbol, r.pos): r for r in N.followed(prepared, spark.createDataFrame(rows, "symbol string, anchor int, pos int, weight double")).collect()}
+    want = {(r.symbol, r.pos): r for r in prepared.outcomes.where("path is not null").collect()}
+    assert set(got) == {(s, pos) for s, _, pos, _ in rows if (s, pos) in want} and len(got) == 12
+    for k, r in got.items():
+        for c in ("path", "low_path", "high_path"):
+            assert np.allclose(r[c], want[k][c], rtol=1e-12, atol=1e-9) and len(r[c]) == len(want[k][c])
+        assert math.isclose(r.max_upside, want[k].max_upside, rel_tol=1e-9) and math.isclose(r.max_drawdown, want[k].max_drawdown, rel_tol=1e-9)
+
+
+def test_scales_choice_and_ranks_equal_plain_ones():
+    draw = np.random.default_rng(5)
+    for n in (9, 10, 31):
+        x = np.sort(np.round(draw.normal(size=(3, n)), 1), axis=1)
+        middle, away = N._scales(x)
+        assert np.array_equal(middle, np.median(x, axis=1)) and np.array_equal(away, np.median(np.abs(x - middle[:, None]), axis=1))
+    distance = np.round(draw.random((6, 80)), 2)
+    distance[5] = np.inf
+    distance[4, 3:] = np.inf
+    chosen, far = N._spaced(distance.copy(), 7, 9)
+    for row, got, d in zip(distance, chosen, far):
+        taken = []
+        for i in np.argsort(row, kind="stable"):
+            if np.isfinite(row[i]) and len(taken) < 9 and all(abs(i - j) >= 7 for j in taken):
+                taken.append(int(i))
+        assert [i for i in got if i >= 0] == taken and np.array_equal(d[: len(taken)], row[taken])
+    x = np.round(draw.random(150), 1)
+    x[[3, 90]] = np.nan
+    for i, rank in enumerate(N._percentiles(x, 70, 60)):
+        near = [v for v in x[max(0, i - 69) : i + 1] if np.isfinite(v)]
+        want = (sum(v < x[i] for v in near) + (sum(v == x[i] for v in near) + 1) / 2) / len(near) * 100 if np.isfinite(x[i]) and len(near) >= 60 else None
+        assert np.isnan(rank) if want is None else rank == want
+
+
+def test_a_block_of_anchors_with_missing_values_equals_each_alone():
+    import pyarrow as pa
+
+    draw, n = np.random.default_rng(6), 520
+    values = {f: draw.normal(size=n) for f in X.FEATURES}
+    for f, share in (("volume_ratio", 0.1), ("atr", 0.5), ("rsi", 0.02)):
+        values[f][draw.random(n) < share] = np.nan
+    values["candle_pressure"][260:] = 3.0  # no spread
+    close = 50 * np.exp(np.cumsum(draw.normal(0, 0.01, n)))
+    fwd = np.where(np.arange(n) < n - 21, draw.normal(size=n), np.nan)
+    days = np.datetime64("2015-01-05") + np.arange(n)
+    hide = lambda v: pa.array(v, mask=np.isnan(v))
+    table = pa.table({"session_date": days, "close": close, "vix": draw.random(n), "entry": close, "fwd_5": hide(fwd), "fwd_10": hide(fwd), "fwd_h": hide(fwd), **{f: hide(v) for f, v in values.items()}})
+    own = N._Series(table, {"warmup": 260, "exclusion": 42, "spacing": 10, "horizon": 21, "shape_days": 21, "year": 252})
+    weights, shaped = np.array([w for _, w in M.PROFILES.values()]), np.array([s for s, _ in M.PROFILES.values()])
+    anchors = np.arange(303, n, 7)
+    together = own.block(anchors, np.ones(len(anchors), bool), weights, shaped, 30)
+    rows = {(a, k): (list(c[c >= 0]), list(d[c >= 0]), g) for a, k, c, d, g in zip(*together)}
+    assert rows
+    for a in anchors:
+        near, target = own.values[:, 260 : a - 41].T, own.values[:, a]
+        usable = np.isfinite(target) & (np.isfinite(near).mean(axis=0) >= 0.75)
+        near, target = near[:, usable], target[usable]
+        middle = np.nanmedian(near, axis=0)
+        spread, sd = np.nanmedian(np.abs(near - middle), axis=0) * 1.4826, np.nanstd(near, axis=0)
+        scale = np.where(spread > 1e-9, spread, np.where(sd > 1e-9, sd, 1.0))
+        gap = np.clip((near - middle) / scale, -4, 4) - np.clip((target - middle) / scale, -4, 4)
+        apart = ((own.shape[260 : a - 41] - own.shape[a]) ** 2).mean(axis=1)
+        for k in range(4):
+            w = weights[k, usable]
+            covered = np.isfinite(gap) @ w + shaped[k]
+            far = np.sqrt((np.nansum(gap * gap * w, axis=1) + apart * shaped[k]) / covered)
+            far[covered < 0.75 * (w.sum() + shaped[k])] = np.inf
+            taken = []
+            for i in np.argsort(far, kind="stable"):
+                if np.isfinite(far[i]) and len(taken) < 30 and all(abs(i - j) >= 10 for j in taken):
+                    taken.append(int(i))
+            got = rows.get((a, k), ([], [], None))
+            assert got[0] == taken and np.allclose(got[1], far[taken], rtol=1e-9), (a, k)
